@@ -26,7 +26,7 @@ def _cuts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _unfinished(spark: SparkSession, base: str) -> DataFrame:
-    return pairs.unfinished(_cuts(spark, base), _answers(spark, base).drop("grp"), _questions(spark, base))
+    return pairs.unfinished(_cuts(spark, base), _answers(spark, base), _questions(spark, base))
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
