@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from giurispark.llm import garble, pairs, truncation, visual
+from giurispark.llm import garble, leaks, neardup, packing, pairs, truncation, visual, votes
+from giurispark.session import cut
 from giurispark.sources.tables import table
 
 # ---- 1 and 6: answers ------------------------------------------------------------------
@@ -100,5 +101,134 @@ def p9_restored(spark: SparkSession, base: str) -> DataFrame:
     return _garbled(spark, base).select(F.col("id").alias("doc_id"), "restored", "spans", "swaps", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_models, p4_found, p4_forms, p4_equal, p6_found, p6_models, p9_found, p9_restored)}
-ORACLE: dict[str, str] = {}
+# ---- 2: judges -----------------------------------------------------------------------------
+
+ITEM = ["score_id", "criterion_id"]
+
+
+def _items(spark: SparkSession, base: str) -> DataFrame:
+    return votes.by_item(votes.counting(table(spark, base, "judge_votes"), ITEM), ITEM)
+
+
+def _consensus(spark: SparkSession, base: str) -> DataFrame:
+    items = _items(spark, base)
+    patterns = cut(votes.patterns(items))
+    return votes.consensus(items, patterns, votes.reliability(patterns))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return _consensus(spark, base).where("n_pass > 0 AND n_fail > 0").select(*ITEM, "consensus")
+
+
+def p2_items(spark: SparkSession, base: str) -> DataFrame:
+    """Every item's consensus, the weighted leaning and its confidence, and its agreement."""
+    return _consensus(spark, base).select(*ITEM, "n_pass", "n_fail", "consensus", "leaning", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement"))
+
+
+def p2_judges(spark: SparkSession, base: str) -> DataFrame:
+    """Reliability of each judge and judge model, beside their hits on the items settled by hand."""
+    items = _items(spark, base)
+    raters = votes.reliability(cut(votes.patterns(items)))
+    gold = table(spark, base, "adjudications").groupBy(*ITEM).agg(F.max_by(F.lower(F.trim("gold_verdict")), "adjudicated_at").alias("gold"))
+    hits = (
+        items.join(gold, ITEM).select("gold", F.explode("votes").alias("v")).groupBy(F.col("v.judge").alias("judge"), F.col("v.model").alias("model"))
+        .agg(F.count("*").alias("settled"), F.count_if(F.col("v.verdict") == F.col("gold")).alias("hits"))
+    )
+    return raters.join(hits, ["judge", "model"], "left").select(
+        "judge", "model", "n_votes", F.col("compared").cast("long").alias("compared"), F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("weight"),
+        F.coalesce("settled", F.lit(0)).alias("settled"), F.round(F.try_divide("hits", "settled"), 6).alias("hit_rate"),
+    )
+
+
+def p2_agreement(spark: SparkSession, base: str) -> DataFrame:
+    """Observed and chance-corrected agreement over all items."""
+    return votes.alpha(votes.patterns(_items(spark, base)))
+
+
+def p2_recorded(spark: SparkSession, base: str) -> DataFrame:
+    """Recorded method and verdict against the derived consensus."""
+    recorded = table(spark, base, "criterion_results", *ITEM, "consensus_method", F.col("verdict").alias("recorded"))
+    return recorded.join(_consensus(spark, base).select(*ITEM, "consensus", "leaning"), ITEM, "left").groupBy("consensus_method", "recorded", "consensus", "leaning").agg(F.count("*").alias("items"))
+
+
+# ---- 5: near copies ------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "provvedimenti").select(F.col("prov_id").alias("id"), F.concat_ws(" ", "facts", "principles").alias("text"))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    features = neardup.features(_records(spark, base))
+    pairs_ = neardup.record_pairs(neardup.classes(features), neardup.class_pairs(features))
+    return pairs_.select(F.col("a").alias("prov_id_a"), F.col("b").alias("prov_id_b"))
+
+
+def p5_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs between the representatives of classes of equal texts."""
+    return neardup.class_pairs(neardup.features(_records(spark, base))).select(F.col("a").alias("prov_id_a"), F.col("b").alias("prov_id_b"), F.round("similarity", 6).alias("similarity"), "distance")
+
+
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Every ruling with the class of equal texts, its group of near copies and its number of links to other classes."""
+    features = neardup.features(_records(spark, base))
+    members, links = neardup.classes(features), cut(neardup.class_pairs(features))
+    groups = neardup.components(members.where("id = rep").select("id"), links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return (
+        members.join(groups.select(F.col("id").alias("rep"), "component"), "rep").join(degree, "rep", "left")
+        .select(F.col("id").alias("prov_id"), F.col("rep").alias("class_id"), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+
+
+# ---- 7: containers -------------------------------------------------------------------------
+
+
+def p7_assignment(spark: SparkSession, base: str) -> DataFrame:
+    """Container of every document, or of its pieces."""
+    return packing.packed(table(spark, base, "documents", "doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers, tokens and the share of unused space."""
+    boxes = p7_assignment(spark, base).groupBy("container").agg(F.sum("tokens").alias("used"), F.countDistinct("doc_id").alias("docs"))
+    return boxes.agg(
+        F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"),
+        F.round(1 - F.sum("used") / (F.count("*") * packing.CAPACITY), 6).alias("unused_share"), F.count_if(F.col("used") == packing.CAPACITY).alias("full"),
+    )
+
+
+# ---- 8: held-out passages ------------------------------------------------------------------
+
+
+def _leaked(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.leaked(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "heldout_items", "item_id", "text"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _leaked(spark, base).where("exact > 0").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, base: str) -> DataFrame:
+    """How far each held-out item leaked."""
+    return (
+        table(spark, base, "heldout_items", "item_id", "kind").join(_leaked(spark, base), "item_id", "left").groupBy("item_id", "kind")
+        .agg(F.count_if(F.col("exact") > 0).alias("documents"), F.count_if(F.col("exact") == 0).alias("near_only"), F.coalesce(F.max("exact"), F.lit(0)).alias("longest"))
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_models, p2_found, p2_items, p2_judges, p2_agreement, p2_recorded, p4_found, p4_forms, p4_equal, p5_found, p5_pairs, p5_groups,
+    p6_found, p6_models, p7_assignment, p7_fill, p8_found, p8_items, p9_found, p9_restored,
+)}
+
+_VOTES = """WITH valid AS (
+  SELECT score_id, criterion_id, upper(trim(judge_id, E' \\t\\n\\r')) AS judge, model, lower(trim(verdict, E' \\t\\n\\r')) AS verdict, voted_at FROM judge_votes WHERE status = 'ok'),
+latest AS (SELECT score_id, criterion_id, judge, arg_max(verdict, (voted_at, verdict, model)) AS verdict FROM valid WHERE verdict IN ('pass', 'fail') AND judge IS NOT NULL GROUP BY ALL),
+items AS (SELECT score_id, criterion_id, count(*) FILTER (verdict = 'pass') AS p, count(*) FILTER (verdict = 'fail') AS f FROM latest GROUP BY ALL)
+"""
+ORACLE: dict[str, str] = {
+    "p2_found": _VOTES + "SELECT score_id, criterion_id, CASE WHEN p >= 2 THEN 'pass' WHEN f >= 2 THEN 'fail' ELSE 'unresolved' END AS consensus FROM items WHERE p > 0 AND f > 0",
+    "p2_agreement": _VOTES + """, s AS (SELECT count(*) AS items, sum(p) AS a, sum(f) AS b, sum(2.0 * p * f / (p + f - 1)) AS split, sum((p * (p - 1) + f * (f - 1)) / ((p + f) * (p + f - 1.0))) AS agree FROM items WHERE p + f >= 2)
+SELECT items, CAST(a + b AS BIGINT) AS votes, round(agree / items, 6) AS observed, round(1 - (split / (a + b)) / (2.0 * a * b / ((a + b) * (a + b - 1))), 6) AS alpha FROM s""",
+}
