@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from giurispark.plans import references
+from giurispark.plans import judging, references
 
-MODULES = (references,)
+MODULES = (references, judging)
 
 
 def queries() -> dict:
