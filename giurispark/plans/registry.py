@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from giurispark.plans import judging, references
+from giurispark.plans import corpus, judging, references
 
-MODULES = (references, judging)
+MODULES = (references, judging, corpus)
 
 
 def queries() -> dict:
