@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from giurispark.plans import corpus, judging, references
+from giurispark.plans import corpus, judging, references, reports
 
-MODULES = (references, judging, corpus)
+MODULES = (references, judging, corpus, reports)
 
 
 def queries() -> dict:
