@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,17 +28,24 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nonempty(text: Column) -> Column:
-    return F.when(F.length(text) > 0, text)
+    return F.nullif(text, F.lit(""))
+
+
+def _loose(raw: Column) -> Column:
+    parts = F.split(F.translate(raw, "_", ":"), ":")
+    return F.when((F.size(parts) >= 5) & (F.get(parts, F.lit(0)) == "ECLI"), F.concat_ws(":", F.slice(parts, 1, 4), F.array_join(F.slice(parts, 5, 1000), "")))
 
 
 def canonical(text: Column) -> Column:
     """Canonical colon form of an ECLI found in text; null when there is none."""
     raw = F.upper(strip(text))
-    found = F.regexp_extract(raw, f"({ECLI_TOKEN})", 1)
-    parts = F.split(F.translate(F.when(found != "", found).otherwise(raw), "_", ":"), ":")
-    joined = F.concat_ws(":", F.slice(parts, 1, 4), F.array_join(F.slice(parts, 5, 1000), ""))
-    return F.when((F.size(parts) >= 5) & (F.get(parts, F.lit(0)) == "ECLI"), joined)
+    return F.coalesce(nonempty(F.translate(F.regexp_extract(raw, f"({ECLI_TOKEN})", 1), "_", ":")), let(raw, _loose))
 
 
 def part(ecli: Column, index: int) -> Column:
@@ -45,19 +54,16 @@ def part(ecli: Column, index: int) -> Column:
 
 
 def year(value: Column) -> Column:
-    text = strip(value.cast("string"))
-    return F.when(text.rlike("^[0-9]{4}$") & (text >= "1000"), text.cast("int"))
+    return nonempty(F.regexp_extract(strip(value.cast("string")), "^([1-9][0-9]{3})$", 1)).cast("int")
 
 
 def number(value: Column) -> Column:
     """Digits without leading zeros; '0' stays."""
-    text = strip(value.cast("string"))
-    return F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?!$)", ""))
+    return nonempty(F.regexp_extract(strip(value.cast("string")), "^0*([0-9]+)$", 1))
 
 
 def docket(value: Column) -> Column:
-    text = strip(value.cast("string"))
-    return F.when(text.rlike("^[0-9]+$"), text)
+    return nonempty(F.regexp_extract(strip(value.cast("string")), "^([0-9]+)$", 1))
 
 
 def padded_number(value: Column) -> Column:
@@ -67,7 +73,7 @@ def padded_number(value: Column) -> Column:
 
 
 def doc_type(value: Column) -> Column:
-    text = F.rtrim(F.lit("."), F.upper(strip(value)))
+    text = F.rtrim(F.upper(strip(value)), F.lit("."))
     return F.create_map(*[F.lit(x) for kv in DOC_TYPES.items() for x in kv])[text]
 
 
@@ -76,8 +82,8 @@ def code(value: Column) -> Column:
 
 
 def legal_area(value: Column) -> Column:
-    text = F.rtrim(F.lit("."), F.upper(strip(value)))
-    return F.when(text.isin("CIV", "CIVILE"), "CIV").when(text.isin("PEN", "PENALE"), "PEN")
+    known = F.create_map(*[F.lit(x) for kv in {"CIV": "CIV", "CIVILE": "CIV", "PEN": "PEN", "PENALE": "PEN"}.items() for x in kv])
+    return known[F.rtrim(F.upper(strip(value)), F.lit("."))]
 
 
 def namespace_of(ecli: Column, italian_only: bool = True) -> Column:
@@ -123,38 +129,35 @@ def authority_court(words: Column, namespace: Column) -> Column:
 
 def exact(namespace: Column, y: Column, n: Column, area: Column, court: Column, place: Column, kind: Column, nrg: Column) -> Column:
     """The one ECLI that complete metadata determine; null when a needed field is missing."""
-    ns, head = F.upper(namespace), F.lit("ECLI:IT:")
-    y, n, area, court, place, kind, nrg = year(y), number(n), legal_area(area), code(court), code(place), doc_type(kind), docket(nrg)
-    tail = F.concat(F.lit(":"), y.cast("string"), F.lit(":"), n)
-    return (
-        F.when(ns == "CASS", F.concat(head, F.lit("CASS"), tail, area))
-        .when(ns.isin("COST", "ABF"), F.concat(head, ns, tail))
-        .when(ns == "ADM", F.concat(head, court, tail, kind))
-        .when(ns == "MER", F.concat(head, court, tail, F.lit("."), nrg))
-        .when(ns == "TAX", F.concat(head, court, place, tail, kind))
-        .when(ns == "CONT", F.concat(head, F.lit("CONT"), tail, place))
-    )
+    return build_exact(F.upper(namespace), year(y), number(n), legal_area(area), code(court), code(place), doc_type(kind), docket(nrg))
 
 
-def prefix(namespace: Column, y: Column, n: Column, area: Column, court: Column, place: Column, kind: Column, nrg: Column) -> Column:
-    """The start that all ECLIs of incomplete metadata share; null when the metadata are complete or too poor."""
-    ns, head = F.upper(namespace), F.lit("ECLI:IT:")
-    y, n, area, court, place, kind, nrg = year(y), number(n), legal_area(area), code(court), code(place), doc_type(kind), docket(nrg)
-    tail = F.concat(F.lit(":"), y.cast("string"), F.lit(":"), n)
-    return (
-        F.when((ns == "CASS") & area.isNull(), F.concat(head, F.lit("CASS"), tail))
-        .when(ns == "MER", F.concat(head, court, tail, F.lit("."), F.coalesce(nrg, F.lit(""))))
-        .when((ns == "ADM") & kind.isNull(), F.concat(head, court, tail))
-        .when((ns == "TAX") & kind.isNull(), F.concat(head, court, place, tail))
-        .when((ns == "CONT") & place.isNull(), F.concat(head, F.lit("CONT"), tail))
-    )
+def build_exact(ns: Column, y: Column, n: Column, area: Column, court: Column, place: Column, kind: Column, nrg: Column) -> Column:
+    """exact for fields that are normalised already."""
+    last = F.when(ns == "CASS", area).when(ns.isin("COST", "ABF"), "").when(ns == "MER", F.concat(F.lit("."), nrg)).when(ns.isin("ADM", "TAX"), kind).when(ns == "CONT", place)
+    seat = F.when(ns.isin("CASS", "COST", "ABF", "CONT"), ns).when(ns.isin("ADM", "MER"), court).when(ns == "TAX", F.concat(court, place))
+    return F.concat(F.lit("ECLI:IT:"), seat, F.lit(":"), y.cast("string"), F.lit(":"), n, last)
 
 
-def cass_candidates(y: Column, n: Column, area: Column) -> tuple[Column, Column]:
-    """(requested, homonymous) ECLIs of a Cassation citation, as arrays."""
-    base = F.concat(F.lit("ECLI:IT:CASS:"), year(y).cast("string"), F.lit(":"), number(n))
-    kind, none = legal_area(area), F.array().cast("array<string>")
-    civ, pen = F.concat(base, F.lit("CIV")), F.concat(base, F.lit("PEN"))
-    requested = F.when(base.isNull(), none).when(kind == "CIV", F.array(civ)).when(kind == "PEN", F.array(pen)).otherwise(F.array(civ, pen))
-    other = F.when(base.isNull() | kind.isNull(), none).when(kind == "CIV", F.array(pen)).otherwise(F.array(civ))
-    return requested, other
+def prefix(namespace: Column, y: Column, n: Column, area: Column, court: Column, place: Column, kind: Column, nrg: Column) -> Column:
+    """The start that all ECLIs of incomplete metadata share; null when the metadata are complete or too poor."""
+    return build_prefix(F.upper(namespace), year(y), number(n), legal_area(area), code(court), code(place), doc_type(kind), docket(nrg))
+
+
+def build_prefix(ns: Column, y: Column, n: Column, area: Column, court: Column, place: Column, kind: Column, nrg: Column) -> Column:
+    """prefix for fields that are normalised already."""
+    seat = (
+        F.when((ns == "CASS") & area.isNull(), ns).when(ns == "MER", court).when((ns == "ADM") & kind.isNull(), court)
+        .when((ns == "TAX") & kind.isNull(), F.concat(court, place)).when((ns == "CONT") & place.isNull(), ns)
+    )
+    last = F.when(ns == "MER", F.concat(F.lit("."), F.coalesce(nrg, F.lit("")))).otherwise("")
+    return F.concat(F.lit("ECLI:IT:"), seat, F.lit(":"), y.cast("string"), F.lit(":"), n, last)
+
+
+def cass_candidates(y: Column, n: Column, kind: Column) -> tuple[Column, Column]:
+    """(requested, homonymous) ECLIs of a Cassation citation, as arrays; from normalised fields."""
+    base = F.concat(F.lit("ECLI:IT:CASS:"), y.cast("string"), F.lit(":"), n)
+    both = lambda *areas: F.array_compact(F.array(*[F.concat(base, F.lit(x)) for x in areas]))
+    none = F.array().cast("array<string>")
+    requested = F.when(kind == "CIV", both("CIV")).when(kind == "PEN", both("PEN")).otherwise(both("CIV", "PEN"))
+    return requested, F.when(kind == "CIV", both("PEN")).when(kind == "PEN", both("CIV")).otherwise(none)

@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from giurispark.functions.ecli import nonempty, strip
+from giurispark.functions.ecli import let, nonempty, strip
 
 #: The seven areas and the spellings that stand for them (keys as area_key gives them).
 AREAS = {
@@ -55,15 +55,15 @@ def area_key(text: Column) -> Column:
 
 def area(text: Column, strict: bool = False) -> Column:
     """Canonical area; an unknown value gives its key, or an error where strict."""
-    key = area_key(text)
     known = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    rest = F.raise_error(F.concat(F.lit("unknown area: "), F.coalesce(text, F.lit("")))) if strict else key
-    return (
-        F.when(F.contains(key, F.lit("privacy")) & F.contains(key, F.lit("procedura_civile")), "diritto_civile")
-        .when(known[key].isNotNull(), known[key])
-        .when(key.rlike("^(penale_|diritto_penale_)|_penale$"), "diritto_penale")
-        .otherwise(rest)
-    )
+
+    def of(key: Column) -> Column:
+        return F.coalesce(
+            F.when(F.contains(key, F.lit("privacy")) & F.contains(key, F.lit("procedura_civile")), "diritto_civile"), known[key],
+            F.when(key.rlike("^(penale_|diritto_penale_)|_penale$"), "diritto_penale"), F.raise_error(F.concat(F.lit("unknown area: "), key)) if strict else key,
+        )
+
+    return let(area_key(text), of)
 
 
 def cassation_area(legal_area: Column, division: Column) -> Column:

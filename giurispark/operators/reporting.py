@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from giurispark.functions import text
+from giurispark.operators.ranking import numbered
 from giurispark.operators.scoring import safe_rate
 
 RUN = ["run_id", "model", "series_label"]
@@ -75,7 +76,7 @@ def leaderboard(tasks: DataFrame, criteria: DataFrame) -> DataFrame:
 def ranked(board: DataFrame) -> DataFrame:
     """Position in the leaderboard: three keys descending, nulls last, then the run."""
     order = [F.col(c).desc_nulls_last() for c in ("all_pass_rate", "criterion_pass_rate", "mean_citation_score")]
-    return board.withColumn("position", F.row_number().over(Window.orderBy(*order, "run_id", "model")))
+    return numbered(board, [], [*order, F.col("run_id").asc(), F.col("model").asc()])
 
 
 def by_area(tasks: DataFrame, criteria: DataFrame) -> DataFrame:

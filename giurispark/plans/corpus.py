@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from giurispark.functions import text
 from giurispark.operators import corpus
+from giurispark.operators.ranking import numbered
 from giurispark.sources.tables import table
 
 
@@ -68,9 +69,8 @@ def legal_area_counts(spark: SparkSession, base: str) -> DataFrame:
 def audit_rank(spark: SparkSession, base: str) -> DataFrame:
     """Order of the audit report."""
     ranked = _rulings(spark, base).withColumn("division", F.coalesce("division", F.lit(""))).withColumn("ecli_id", F.coalesce("ecli_id", F.lit("")))
-    return ranked.groupBy("area", "legal_area", "division").agg(F.count("*").alias("n"), F.min(F.struct("ecli_id", "prov_id")).alias("f")).select("area", "legal_area", "division", "n", F.col("f.prov_id").alias("first_id")).withColumn(
-        "position", F.row_number().over(Window.orderBy("area", "legal_area", "division"))
-    )
+    groups = ranked.groupBy("area", "legal_area", "division").agg(F.count("*").alias("n"), F.min(F.struct("ecli_id", "prov_id")).alias("f")).select("area", "legal_area", "division", "n", F.col("f.prov_id").alias("first_id"))
+    return numbered(groups, [], [F.col("area").asc(), F.col("legal_area").asc(), F.col("division").asc()])
 
 
 def text_previews(spark: SparkSession, base: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from giurispark.plans import corpus, judging, references, reports
+from giurispark.plans import corpus, grounding, judging, references, reports
 
-MODULES = (references, judging, corpus, reports)
+MODULES = (references, judging, corpus, reports, grounding)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    return references.p3_monthly(spark, base)
+    return grounding.grounding_by_task(spark, base)

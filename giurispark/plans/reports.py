@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from giurispark.functions import text
 from giurispark.operators import reporting, scoring
+from giurispark.operators.ranking import numbered
 from giurispark.plans.corpus import area_sql
 from giurispark.sources.tables import table
 
@@ -148,8 +149,9 @@ def runs_since(spark: SparkSession, base: str) -> DataFrame:
 def task_ids(spark: SparkSession, base: str) -> DataFrame:
     """Sequential ids per area, in order of filing."""
     tasks = table(spark, base, "benchmark_tasks", "task_id", "macro_area", "created_at").withColumn("area", text.area(F.col("macro_area")))
-    n = F.row_number().over(Window.partitionBy("area").orderBy("created_at", "task_id"))
-    return tasks.select("task_id", F.concat_ws("/", "area", F.lpad(n.cast("string"), 4, "0")).alias("new_id"))
+    placed = numbered(tasks, ["area"], [F.col("created_at").asc(), F.col("task_id").asc()], "n")
+    number = F.col("n").cast("string")
+    return placed.select("task_id", F.concat_ws("/", "area", F.when(F.length(number) >= 4, number).otherwise(F.lpad(number, 4, "0"))).alias("new_id"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -231,5 +233,5 @@ SELECT model, count(*) AS n, """ + ", ".join(f"round(count(*) FILTER (k = '{k}')
 SELECT family, split_part(run_id, '/', 1) AS model, split_part(run_id, '/', 2) AS run_timestamp, CASE WHEN family = 'bullshit' THEN 'bullshit/' ELSE '' END || run_id || '/scores.json' AS path, run_id FROM p
 QUALIFY row_number() OVER (PARTITION BY family, split_part(run_id, '/', 1) ORDER BY split_part(run_id, '/', 2) DESC) = 1""",
     "runs_since": "SELECT run_id, model, count(*) AS scores FROM task_scores WHERE split_part(run_id, '/', 2) >= '20240601' AND model IN ('aquila-mini', 'etna-pro') GROUP BY ALL",
-    "task_ids": f"SELECT task_id, area || '/' || lpad(CAST(row_number() OVER (PARTITION BY area ORDER BY created_at, task_id) AS VARCHAR), 4, '0') AS new_id FROM (SELECT task_id, created_at, {area_sql('macro_area')} AS area FROM benchmark_tasks)",
+    "task_ids": f"SELECT task_id, area || '/' || format('{{:04d}}', row_number() OVER (PARTITION BY area ORDER BY created_at, task_id)) AS new_id FROM (SELECT task_id, created_at, {area_sql('macro_area')} AS area FROM benchmark_tasks)",
 }
