@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from giurispark.plans import corpus, grounding, judging, references, reports
+from giurispark.plans import corpus, grounding, judging, references, reports, texts
 
-MODULES = (references, judging, corpus, reports, grounding)
+MODULES = (references, judging, corpus, reports, grounding, texts)
 
 
 def queries() -> dict:
