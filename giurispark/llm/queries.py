@@ -23,7 +23,8 @@ def _questions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _cuts(spark: SparkSession, base: str) -> DataFrame:
-    return truncation.truncated(table(spark, base, "task_scores", "score_id", "model", "model_output"), "score_id", "model_output", "model").where("cut is not null")
+    """The unfinished answers, written once: they are few and read more than once."""
+    return cut(truncation.truncated(table(spark, base, "task_scores", "score_id", "model", "model_output"), "score_id", "model_output", "model").where("cut is not null"))
 
 
 def _unfinished(spark: SparkSession, base: str) -> DataFrame:

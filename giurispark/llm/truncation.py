@@ -36,10 +36,9 @@ FROM (
 
 #: Trigrams inside texts: all but the last.
 INNER = """
-SELECT a, b, c, count(*) AS n FROM (
-  SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
-  FROM (SELECT w, explode(sequence(0, size(w) - 4)) AS i FROM tokens WHERE size(w) >= 4))
-GROUP BY a, b, c
+SELECT t.x AS a, t.y AS b, t.z AS c, count(*) AS n FROM (
+  SELECT explode(zip_with(zip_with(slice(w, 1, size(w) - 3), slice(w, 2, size(w) - 3), (x, y) -> named_struct('x', x, 'y', y)), slice(w, 3, size(w) - 3), (p, z) -> named_struct('x', p.x, 'y', p.y, 'z', z))) AS t FROM tokens WHERE size(w) >= 4)
+GROUP BY t.x, t.y, t.z
 """
 
 #: Final trigrams, and how many different texts end with each.
@@ -62,7 +61,7 @@ GROUP BY f.a, f.b, f.c, f.n_end
 
 #: Structures still open at the end. Only the last paragraph's brackets and quotations count.
 OPEN = r"""
-    (s rlike '^\\s*[\\{\\[]\\s*"' AND NOT s rlike '[\\}\\]](\\s|`)*$')
+    (s rlike '^\\s*[\\{\\[]\\s*"' AND NOT last rlike '[\\}\\]](\\s|`)*$')
  OR (length(s) - length(replace(s, '```', ''))) % 6 <> 0
  OR (length(p) - length(replace(p, '(', ''))) > (length(p) - length(replace(p, ')', '')))
  OR (length(p) - length(replace(p, '“', ''))) > (length(p) - length(replace(p, '”', ''))) AND NOT p rlike '„'
@@ -93,9 +92,9 @@ SELECT id, grp,
        ELSE 'sentence' END AS cut,
   never, n_same + n_longer AS n_inside, n_end
 FROM (SELECT *, OPEN_RULE AS open, CLOSED_RULE AS closed,
-        s rlike '(^|\n)\\s*([-*•]|\\p{N}+[.)])$' AS marker,
-        (s rlike '[.!?][\\p{Pe}\\p{Pf}"\'*_`|]*$' OR s rlike '[\\}\\]]`*$' OR s rlike '</\\p{L}+>$' OR s rlike '[!?»”]$') AS stopped,
-        s rlike '(?i)(^|[^\\p{L}])(\\p{L}|artt?|sez|cass|civ|pen|n|nn|cfr|es|pag|dott|avv|s\\.r|s\\.p|s\\.n|corte cost|trib)\\.$' AS abbreviation,
+        last rlike '^([-*•]|\\p{N}+[.)])$' AS marker,
+        (last rlike '[.!?][\\p{Pe}\\p{Pf}"\'*_`|]*$' OR last rlike '[\\}\\]]`*$' OR last rlike '</\\p{L}+>$' OR last rlike '[!?»”]$') AS stopped,
+        right(last, 14) rlike '(?i)(^|[^\\p{L}])(\\p{L}|artt?|sez|cass|civ|pen|n|nn|cfr|es|pag|dott|avv|s\\.r|s\\.p|s\\.n|corte cost|trib)\\.$' AS abbreviation,
         (n_end - 1) >= 2 AND (n_end - 1) >= SHARE * (n_same + n_longer) AND last rlike '^(\\S+\\s+){0,4}\\S+$' AS terminal,
         (n_same + n_longer) >= SUPPORT AND (n_end - 1) < SHARE * (n_same + n_longer) AS never
       FROM (SELECT e.id, e.grp, e.s, v.n_end, v.n_same, v.n_longer, element_at(split(e.s, '\n\\s*\n'), -1) AS p, trim(element_at(split(e.s, '\n'), -1)) AS last
