@@ -38,7 +38,7 @@ _OUTSIDE = {ns: re.compile(p, re.I) for ns, p in OUTSIDE.items()}
 _LINK = re.compile(r"\[[^\]\n]*\]\((https?://[^\s()<>]+)\)|(https?://[^\s<>\"')\]]+)")
 _SLUG = re.compile(r"ECLI[:_]IT[:_][A-Z0-9]+[:_]\d{4}[:_][A-Z0-9.]+", re.I)
 #: A reference that names no court and leans on the one before it.
-_SHORT = re.compile(rf"(?<![\w.])(?:e|ed|nonché|,|;)\s+(?:la\s+)?{_KIND}{_NUMBER}", re.I)
+_SHORT = re.compile(rf"(?:\s+(?:e|ed|nonché)|[,;])\s+(?:la\s+)?{_KIND}{_NUMBER}", re.I)
 
 FIELDS = ["id", "channel", "namespace", "authority", "area", "section", "kind", "number", "year", "ecli", "start", "end", "text"]
 OUT = T.StructType([T.StructField(f, {"id": T.LongType(), "year": T.IntegerType(), "start": T.IntegerType(), "end": T.IntegerType()}.get(f, T.StringType())) for f in FIELDS])

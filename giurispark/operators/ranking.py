@@ -19,10 +19,9 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str = "
     placed = cut(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
     counts = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = counts.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_of_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_of_part")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     within = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
-    same = [placed[g].eqNullSafe(offsets[g]) for g in group]
-    on = placed["_part"] == offsets["_part"]
-    for c in same:
-        on = on & c
-    return placed.withColumn("_row", within).join(offsets, on).select(*[placed[c] for c in df.columns], (F.col("_row") + F.col("_before")).cast("int").alias(name))
+    return placed.withColumn("_row", within).join(offsets, on).select(*df.columns, (F.col("_row") + F.col("_before")).cast("int").alias(name))
