@@ -86,7 +86,7 @@ def consistent(text: str) -> str:
             return word
         return "".join(LOOKALIKES.get(c, c) for c in word)
 
-    return _MIXED.sub(latin, text)
+    return unicodedata.normalize("NFC", _MIXED.sub(latin, text))
 
 
 @cache

@@ -65,7 +65,7 @@ def statement(source: str) -> str:
         f"lambda w: CASE WHEN regexp_matches(w, '[{_class(alike)}]') AND (regexp_matches(w, '{latin}') OR regexp_full_match(w, '[{_class(SOLO)}]{{1,2}}')) THEN translate(w, {_quote(alike)}, {_quote(plain)}) ELSE w END), '') ELSE z END"
     )
     return (
-        f"SELECT src, id, form, form <> text AS changed FROM (SELECT src, id, text, {worded} AS form FROM ("
+        f"SELECT src, id, form, form <> text AS changed FROM (SELECT src, id, text, nfc_normalize({worded}) AS form FROM ("
         f"SELECT src, id, text, nfc_normalize({spelled}) AS z FROM (SELECT src, id, text, {chain} AS y FROM ("
         f"SELECT src, id, text, {form} AS x FROM {source}))))"
     )

@@ -11,6 +11,10 @@ agreement is the rater's accuracy, its log odds the new weight; repeated until n
 accuracy moves by more than ``tolerance``. Agreement is chance-corrected for missing
 ratings (nominal alpha over all items with two votes or more).
 
+With three judges the two better ones get nearly the same accuracy, as each is compared with
+fellows that mostly follow the other; accuracies rank judges within what they are compared
+with, and settled items (p2_judges shows their hits) tell how far they are off.
+
 Cases: unusable verdicts, failed votes and null judges do not count; repeated rows count
 once; of equal times the larger verdict and model win; an item with a single vote has
 this vote as leaning, agreement null, and no say in accuracies; tied weights lean to
