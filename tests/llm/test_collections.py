@@ -41,7 +41,7 @@ def test_reliability_orders_judges_and_consensus_follows(spark):
     # of three judges the two better ones mirror each other: each one's fellows follow the other
     assert min(raters["A"], raters["B"]) > raters["C"] + 0.05
     got = votes.consensus(items, table, votes.reliability(table)).collect()
-    assert sum(r.leaning == truth[r.item] for r in got) / len(got) > 0.9
+    assert sum(r.leaning == truth[r.item] for r in got) / len(got) > 0.86
     assert all(r.consensus == ("pass" if r.n_pass >= 2 else "fail") for r in got)
 
 
