@@ -97,7 +97,7 @@ def decode_spans(text: str) -> tuple[str, int]:
             break
         text, total = best[3], total - best[1]
     # a no-break space that was made a plain one after the damage
-    text, n = re.subn(r"(?<=[a-zß-ÿ])Ã (?= |$|[.,;:])", "à", text)
+    text, n = re.subn(r"(?<=[a-zß-ÿ])Ã (?= |$|[.,;:])|(?<= )Ã (?= )", "à", text)
     text, m = re.subn(r"(?<=[\w.,;:!?»])Â (?=[\s\w«(])", " ", text)
     return text, total + n + m
 
@@ -138,6 +138,8 @@ _F = re.escape(FOREIGN)
 SPOTS = [
     re.compile(rf"(?<=[{LATIN}])([{_F}])"),
     re.compile(rf"([{_F}])(?=[{LATIN}])"),
+    re.compile(r"(?<=[A-Z])([Æ])(?=[a-zà-ÿ])"),
+    re.compile(r"(?<=[a-zß-ÿ])([ﬁﬂ])(?=[a-zß-ÿ])"),
     re.compile(r"(?<=[a-zß-öø-ÿ])([À-ÖØ-Þ])(?![A-ZÀ-Þ]{2})"),
     re.compile(r"(?<=[a-z])([ýþðõ÷ý])"),
     re.compile(r"(?<![\w’'«“(-])([Ͱ-ӿËÞÚÌ╚Ωъ])(?= [a-zà-ÿ])"),
@@ -151,7 +153,7 @@ SPOTS = [
 ]
 #: A gate in the JVM: only texts with one of these go to Python. It is wider than the rules above.
 SUSPECT = (
-    r"[^\x00-\x7FàáâäçèéêëìíîïñòóôöùúûüßœÀÁÄÈÉÌÒÓÖÙÚÜÑ«»“”‘’–—…€§°\x{00A0}]|\x{FFFD}|[a-zà-ÿ][À-ÖØ-Þ]|[ÀÁÄÈÉÌÒÓÖÙÚÜ] \d|(?<![A-ZÀ-Þa-zà-ÿ])[ÚÌ] [a-z]"
+    r"â€|[^\x00-\x7FàáâäçèéêëìíîïñòóôöùúûüßœÀÁÄÈÉÌÒÓÖÙÚÜÑ«»“”‘’–—…€§°\x{00A0}]|\x{FFFD}|[a-zà-ÿ][À-ÖØ-Þ]|[ÀÁÄÈÉÌÒÓÖÙÚÜ] \d|(?<![A-ZÀ-Þa-zà-ÿ])[ÚÌ] [a-z]"
     r"|[ldLDnN]í[aeiouàèéìòùh]|(?<![A-Za-zÀ-ÿ])[ìô][A-Za-z]{2}|[a-z]{2}[îö](?![A-Za-zÀ-ÿ])"
 )
 _ITALIAN_OR_MAC = re.compile(r"\b(?:il|che|della|non|per|una)\b")
@@ -177,6 +179,14 @@ def unswap(text: str) -> tuple[str, int, str]:
             soft = [i for i in soft if text[i] in "ìôîö"]
     chars, certain = list(text), {text[i] for i in sure if not text[i].islower() or text[i] in FOREIGN}
     changed = {*sure, *soft, *(i for i, c in enumerate(text) if c in certain)}
+    if sure:  # the rest of a damaged word, and lone stand-ins for a letter
+        for m in re.finditer(r"\S+", text):
+            at = range(*m.span())
+            lone = len(at) == 1 and not text[at[0]].islower()
+            if lone or any(i in changed for i in at) and re.search("[A-Za-z]", m.group()):
+                changed |= {i for i in at if text[i] in mapping and (lone or text[i] in FOREIGN)}
+            elif len(at) == 1 and text[at[0]] in FOREIGN and text[at[0]] in mapping:
+                changed.add(at[0])
     for i in changed:
         chars[i] = mapping[text[i]]
     return "".join(chars), len(changed), "/".join(table)
