@@ -30,7 +30,7 @@ STEM = 3
 TOKENS = r"""
 SELECT id, grp, s, xxhash64(s) AS h, regexp_extract_all(regexp_replace(lower(s), '\\p{N}+', '0'), '([\\p{L}\\p{M}]+|0|\n|[^\\s\\p{L}\\p{M}\\p{N}])', 1) AS w
 FROM (
-  SELECT id, grp, regexp_replace(regexp_replace(text, '[\\p{Cf}]', ''), '(?U)(\\s|…|\\.\\.\\.|<\\p{L}+>|\\[\\p{L}+ ?\\p{L}*\\.\\.\\.\\])+$', '') AS s
+  SELECT id, grp, regexp_replace(regexp_replace(text, '[\\p{Cf}]', ''), '(?U)(\\s|…|\\.\\.\\.|<\\p{L}+>|\\[\\s*(?!(?i)omissis)(\\p{L}+|…|\\.\\.\\.)\\s*\\]|\\(\\s*(continua|segue|…|\\.\\.\\.)\\s*\\))+$', '') AS s
   FROM texts WHERE text IS NOT NULL) WHERE length(s) > 0
 """
 
@@ -70,14 +70,14 @@ OPEN = r"""
  OR (length(p) - length(replace(p, '<p>', ''))) > (length(p) - length(replace(p, '</p>', '')))
 """
 
-#: A last line that is complete without a full stop: an address, a source, an emphasised result, a table row, an omission mark.
+#: A last line that is complete without a full stop: an address, a source, an emphasised result, a table row, an omission mark. Marks of a cut are off by then.
 CLOSED = r"""
     last rlike '^\\S*https?://\\S+/[\\p{L}\\p{N}_=?&#%-]+/?$'
  OR last rlike '(?i)^[-*> ]*\\p{L}[\\p{L} ]{0,30}: *ECLI:[A-Z]{2}:CASS:[0-9]{4}:[0-9]+(CIV|PEN)$'
  OR last rlike '(?i)^[-*> ]*\\p{L}[\\p{L} ]{0,30}: *ECLI:[A-Z]{2}:(?!CASS)[A-Z0-9]+:[0-9]{4}:[A-Z0-9.-]+$'
- OR last rlike '^\\*\\*[^*]+\\*\\*$' OR last rlike '^__[^_]+__$' OR last rlike '^#+ \\S.*$'
+ OR last rlike '^\\*\\*[^*]+\\*\\*$' OR last rlike '^__[^_]+__$'
  OR last rlike '^\\|.*\\|$'
- OR last rlike '(?i)[\\[(]\\s*(omissis|\\.\\.\\.|…)\\s*[\\])]$'
+ OR last rlike '(?i)[\\[(]\\s*omissis\\s*[\\])]$'
 """
 
 #: thresholds: a trigram seen ``support`` times inside and less than ``share`` as often at other texts' ends is never terminal.
