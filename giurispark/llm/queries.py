@@ -232,4 +232,13 @@ ORACLE: dict[str, str] = {
     "p2_found": _VOTES + "SELECT score_id, criterion_id, CASE WHEN p >= 2 THEN 'pass' WHEN f >= 2 THEN 'fail' ELSE 'unresolved' END AS consensus FROM items WHERE p > 0 AND f > 0",
     "p2_agreement": _VOTES + """, s AS (SELECT count(*) AS items, sum(p) AS a, sum(f) AS b, sum(2.0 * p * f / (p + f - 1)) AS split, sum((p * (p - 1) + f * (f - 1)) / ((p + f) * (p + f - 1.0))) AS agree FROM items WHERE p + f >= 2)
 SELECT items, CAST(a + b AS BIGINT) AS votes, round(agree / items, 6) AS observed, round(1 - (split / (a + b)) / (2.0 * a * b / ((a + b) * (a + b - 1))), 6) AS alpha FROM s""",
+    # every 12-word window of every document against every one of the items
+    "p8_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS w FROM documents), dw AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d),
+h AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS w FROM heldout_items), hw AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM h)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS k FROM dw) JOIN (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS k FROM hw) USING (k)""",
+    # all pairs over an inverted index of the word sequences of the consistent form
+    "p5_found": f"""WITH src AS (SELECT 'p' AS src, prov_id AS id, concat_ws(' ', facts, array_to_string(principles, ' ')) AS text FROM provvedimenti), form AS ({visual.statement("src")}),
+w AS (SELECT id, regexp_extract_all(strip_accents(lower(form)), '[\\p{{L}}\\p{{N}}]+') AS w FROM form), s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS prov_id_a, b AS prov_id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k / (x.n + y.n - k) >= 0.6""",
 }
