@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from giurispark.llm import garble, leaks, neardup, packing, pairs, truncation, visual, votes
-from giurispark.session import cut
+from giurispark.session import cut, spread
 from giurispark.sources.tables import table
 
 # ---- 1 and 6: answers ------------------------------------------------------------------
 
 
 def _answers(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "task_scores").select(F.col("score_id").alias("id"), F.col("model").alias("grp"), F.col("task_id").alias("task"), F.col("model_output").alias("answer"))
+    rows = table(spark, base, "task_scores").select(F.col("score_id").alias("id"), F.col("model").alias("grp"), F.col("task_id").alias("task"), F.col("model_output").alias("answer"))
+    return spread(rows)  # asked of the scan; asked of a join it would run the join twice
 
 
 def _questions(spark: SparkSession, base: str) -> DataFrame:
