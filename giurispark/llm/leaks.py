@@ -1,12 +1,22 @@
 """Held-out passages inside a corpus (problem 8).
 
 The held-out items are the stated query set: every window of ``width`` words of every
-item gets a 64-bit SimHash of its weighted word pairs. Each document slides the same
-window; its fingerprints are found from running sums, all windows of a batch at once.
-Fingerprints are cut into radius + 1 blocks: two that differ in at most ``radius`` bits
-agree in one block at least, so equal block values give every fingerprint within the
-radius. Candidates are verified on the words themselves: equal windows, or windows whose
-weighted Jaccard similarity reaches ``similar``.
+item. Each document slides the same window, all windows of a batch at once.
+
+Equal windows: a window's 64-bit SimHash of its weighted word pairs is found from running
+sums. Fingerprints are cut into radius + 1 blocks: two that differ in at most ``radius``
+bits agree in one block at least, so equal block values give every fingerprint within the
+radius, equal ones among them.
+
+Near windows: a window has too few word pairs for the radius to hold those whose weighted
+Jaccard similarity reaches ``similar`` (most differ in more bits), so they are found by
+overlap. The pairs that a document's window does not share weigh at most 1 - similar of
+it: windows with more weight outside the items' pairs are dropped, and of the others the
+pairs that fewest windows of the items have, as many as weigh more than that, hold one at
+least that is shared. No near window is missed, and equal ones are among them.
+
+Candidates are verified on the words themselves: equal windows, or windows whose weighted
+Jaccard similarity reaches ``similar``.
 
 The query set goes to the tasks in parts of at most ``part`` windows, so what is sent is
 bounded; more items mean more passes, not a larger broadcast. Documents are never
@@ -45,12 +55,17 @@ def word_hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(uniques.astype(object), categorize=False)[codes], np.minimum([len(u) for u in uniques], 15).astype(np.int16)[codes]
 
 
-def fingerprints(h: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of every window of width words: the signs of the weighted bit sums of its word pairs."""
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word with the next one."""
     pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
     pair ^= pair >> np.uint64(29)
     pair *= np.uint64(0xBF58476D1CE4E5B9)
-    pair ^= pair >> np.uint64(32)
+    return pair ^ (pair >> np.uint64(32))
+
+
+def fingerprints(h: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of every window of width words: the signs of the weighted bit sums of its word pairs."""
+    pair = pair_hashes(h)
     w = (weight[:-1] + weight[1:]).astype(np.int32)
     bits = np.unpackbits(pair.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
     sums = np.cumsum((bits * 2 - 1) * w[:, None], axis=0, dtype=np.int32)
@@ -99,6 +114,73 @@ class Queries:
         return pairs // max(1, len(self.print)), pairs % max(1, len(self.print))
 
 
+def pair_sets(pair: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, weights) of every window of n pairs, a row each; a pair that the window has had before weighs nothing."""
+    order = np.argsort(pair, kind="stable")
+    again = np.flatnonzero(pair[order[1:]] == pair[order[:-1]])
+    before = np.full(len(pair), -1)
+    before[order[again + 1]] = order[again]
+    rows = np.lib.stride_tricks.sliding_window_view
+    first = rows(before, n) < np.arange(len(pair) - n + 1)[:, None]
+    return rows(pair, n), rows((weight[:-1] + weight[1:]).astype(np.int32), n) * first
+
+
+@dataclass
+class Overlaps:
+    """Windows of the held-out items, by word pair."""
+
+    item: np.ndarray
+    pairs: np.ndarray
+    weights: np.ndarray
+    words: list[tuple[str, ...]]
+    width: int
+    similar: float
+
+    def __post_init__(self) -> None:
+        self.known, ids = np.unique(self.pairs, return_inverse=True)
+        self.total = self.weights.sum(axis=1)
+        self.ids = np.where(self.weights > 0, ids.reshape(self.pairs.shape), -2).astype(np.int32)
+        window, at = np.nonzero(self.weights)
+        own = self.ids[window, at]
+        self.posts = window[np.argsort(own, kind="stable")].astype(np.int32)
+        self.ends = np.cumsum(np.bincount(own, minlength=len(self.known)))
+
+    def candidates(self, h: np.ndarray, weight: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, query) pairs whose similarity, with pairs told by hash, reaches similar; each once, only windows marked inside."""
+        pair, slack = pair_hashes(h), 1e-6
+        at = np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)
+        at = np.where(self.known[at] == pair, at, -1).astype(np.int32)
+        _, w = pair_sets(pair, weight, self.width - 1)
+        ids = np.lib.stride_tricks.sliding_window_view(at, self.width - 1)
+        total = w.sum(axis=1)
+        window = np.flatnonzero(inside & ((w * (ids >= 0)).sum(axis=1) >= self.similar * total - slack))
+        ids, w, total = np.where(w[window] > 0, ids[window], -1), w[window], total[window]
+        size = np.where(ids >= 0, np.diff(self.ends, prepend=0)[ids], 0)
+        order = np.argsort(size, axis=1, kind="stable")
+        sorted_w = np.take_along_axis(w, order, axis=1)
+        spent = np.cumsum(sorted_w, axis=1) - sorted_w
+        n = np.where(spent <= (1 - self.similar) * total[:, None] + slack, np.take_along_axis(size, order, axis=1), 0)
+        got = np.cumsum(n.sum(axis=1))
+        found, lo = [], 0
+        while lo < len(window):  # bounds the pairs held at once
+            hi = max(lo + 1, int(np.searchsorted(got, (got[lo - 1] if lo else 0) + 200_000, "right")))
+            row, k = np.nonzero(n[lo:hi])
+            row += lo
+            many, first = n[row, k], self.ends[ids[row, order[row, k]]] - n[row, k]
+            query = self.posts[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            both = np.unique(np.repeat(row, many) * len(self.total) + query)
+            row, query = both // len(self.total), both % len(self.total)
+            close = np.minimum(total[row], self.total[query]) >= self.similar * np.maximum(total[row], self.total[query]) - slack
+            row, query = row[close], query[close]
+            for some in range(0, len(row), 50_000):
+                r, q = row[some : some + 50_000], query[some : some + 50_000]
+                common = (w[r] * (ids[r][:, :, None] == self.ids[q][:, None, :]).any(axis=2)).sum(axis=1)
+                good = common >= self.similar * (total[r] + self.total[q] - common) - slack
+                found.append((window[r[good]], q[good]))
+            lo = hi
+        return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (np.zeros(0, np.int64),) * 2
+
+
 def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Weighted Jaccard of the word pairs of two windows."""
     if a == b:
@@ -108,22 +190,27 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return weight(x & y) / max(1, weight(x | y))
 
 
-def queries_of(items: list[tuple[int, str | None]], width: int, radius: int) -> Queries | None:
-    item, prints, texts = [], [], []
+def queries_of(items: list[tuple[int, str | None]], width: int, radius: int, similar: float, near: bool) -> Queries | Overlaps | None:
+    item, prints, sets, texts = [], [], [], []
     for key, text in items:
         tokens = words(text or "")
         if len(tokens) < width:
             continue
         h, w = word_hashes(tokens)
-        prints.append(fingerprints(h, w, width))
+        if near:
+            sets.append(pair_sets(pair_hashes(h), w, width - 1))
+        else:
+            prints.append(fingerprints(h, w, width))
         item += [key] * (len(tokens) - width + 1)
         texts += [tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)]
     if not item:
         return None
+    if near:
+        return Overlaps(np.array(item, dtype=np.int64), *(np.concatenate(x) for x in zip(*sets)), texts, width, similar)
     return Queries(np.array(item, dtype=np.int64), np.concatenate(prints), texts, width, radius)
 
 
-def scan(docs: list[tuple[int, list[str]]], q: Queries, similar: float) -> list[tuple]:
+def scan(docs: list[tuple[int, list[str]]], q: Queries | Overlaps, similar: float) -> list[tuple]:
     """Rows of OUT for documents given as words; all windows of all documents at once."""
     docs = [(k, t) for k, t in docs if len(t) >= q.width]
     if not docs:
@@ -136,30 +223,34 @@ def scan(docs: list[tuple[int, list[str]]], q: Queries, similar: float) -> list[
     found: dict[tuple[int, int], list] = {}
     for at in range(0, len(tokens) - q.width + 1, CHUNK):
         stop = min(len(tokens), at + CHUNK + q.width - 1)
-        prints = fingerprints(h[at:stop], weight[at:stop], q.width)
-        window, query = q.within(prints)
-        window = window + at
-        inside = owner[window] == owner[window + q.width - 1]
-        for i, j in zip(window[inside].tolist(), query[inside].tolist()):
-            s = similarity(tuple(tokens[i : i + q.width]), q.words[j])
-            if s >= similar:
+        inside = owner[at : stop - q.width + 1] == owner[at + q.width - 1 : stop]
+        if isinstance(q, Overlaps):
+            window, query = q.candidates(h[at:stop], weight[at:stop], inside)
+        else:
+            window, query = q.within(fingerprints(h[at:stop], weight[at:stop], q.width))
+            window, query = window[inside[window]], query[inside[window]]
+        for i, j in zip((window + at).tolist(), query.tolist()):
+            own = tuple(tokens[i : i + q.width])
+            equal = own == q.words[j]
+            s = similarity(own, q.words[j])
+            if equal or isinstance(q, Overlaps) and s >= similar:
                 d = owner[i]
                 row = found.setdefault((docs[d][0], int(q.item[j])), [0, 0, 0.0, i - int(starts[d])])
-                row[0 if s == 1.0 else 1] += 1
+                row[0 if equal else 1] += 1
                 row[2] = max(row[2], s)
                 row[3] = min(row[3], i - int(starts[d]))
     return [(*k, *v) for k, v in found.items()]
 
 
-def leaked(documents: DataFrame, items: DataFrame, width: int = 12, radius: int = 3, similar: float = 0.8, part: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, exact, near, best, first_word): windows of the item found in the document.
+def leaked(documents: DataFrame, items: DataFrame, width: int = 12, radius: int = 3, similar: float = 0.8, part: int = 200_000, near: bool = True) -> DataFrame:
+    """(doc_id, item_id, exact, near, best, first_word): windows of the item found in the document; without near, equal windows only.
 
     documents: doc_id, text; items: item_id, text.
     """
     docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("exact", pa.int32()), ("near", pa.int32()), ("best", pa.float64()), ("first_word", pa.int32())])
 
-    def run(q: Queries):
+    def run(q: Queries | Overlaps):
         def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in source:
                 keys, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
@@ -175,9 +266,9 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = 12, radius: int
         some.append((row[0], row[1]))
         size += len(row[1]) // 4
         if size >= part:
-            if q := queries_of(some, width, radius):
+            if q := queries_of(some, width, radius, similar, near):
                 out = run(q) if out is None else out.unionByName(run(q))
             some, size = [], 0
-    if q := queries_of(some, width, radius):
+    if q := queries_of(some, width, radius, similar, near):
         out = run(q) if out is None else out.unionByName(run(q))
     return out if out is not None else docs.sparkSession.createDataFrame([], OUT)

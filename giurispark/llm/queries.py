@@ -203,18 +203,18 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
 # ---- 8: held-out passages ------------------------------------------------------------------
 
 
-def _leaked(spark: SparkSession, base: str) -> DataFrame:
-    return leaks.leaked(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "heldout_items", "item_id", "text"))
+def _leaked(spark: SparkSession, base: str, near: bool) -> DataFrame:
+    return leaks.leaked(table(spark, base, "documents", "doc_id", "text"), table(spark, base, "heldout_items", "item_id", "text"), near=near)
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    return _leaked(spark, base).where("exact > 0").select("doc_id", "item_id")
+    return _leaked(spark, base, near=False).where("exact > 0").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, base: str) -> DataFrame:
     """How far each held-out item leaked."""
     return (
-        table(spark, base, "heldout_items", "item_id", "kind").join(_leaked(spark, base), "item_id", "left").groupBy("item_id", "kind")
+        table(spark, base, "heldout_items", "item_id", "kind").join(_leaked(spark, base, near=True), "item_id", "left").groupBy("item_id", "kind")
         .agg(F.count_if(F.col("exact") > 0).alias("documents"), F.count_if(F.col("exact") == 0).alias("near_only"), F.coalesce(F.max("exact"), F.lit(0)).alias("longest"))
     )
 

@@ -158,6 +158,33 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked(df, held.limit(0)).count() == 0 and leaks.leaked(df.limit(0), held).count() == 0
 
 
+def test_near_windows_against_brute_force(spark):
+    rnd = random.Random(8)
+    short = [f"{a}{b}" for a in "xyz" for b in ("", "a", "bcdefghi")]  # repeated pairs and unequal weights
+    items = [(0, text(40, rnd)), (1, text(25, rnd)), (2, " ".join(rnd.choice(short) for _ in range(40))), (3, "x y " * 9)]
+    docs = []
+    for d in range(60):
+        own, source = text(30, rnd).split(), items[d % 3][1].split()
+        at = rnd.randrange(len(source) - 12)
+        piece = source[at : at + 12]
+        piece[(0, 11, rnd.randrange(12))[d // 3 % 3]] = "altra"
+        docs.append((d, " ".join(own[:15] + piece + own[15:])))
+    docs += [(100, items[2][1]), (101, "y x " * 9), (102, " ".join(rnd.choice(short) for _ in range(400)))]
+    want = {}
+    for d, t in docs:
+        w = words(t)
+        for i, s in items:
+            v = words(s)
+            pairs_ = [(a == b, leaks.similarity(a, b), k) for k in range(len(w) - 11) for j in range(len(v) - 11) for a, b in [(tuple(w[k : k + 12]), tuple(v[j : j + 12]))]]
+            if hits := [p for p in pairs_ if p[1] >= 0.8]:
+                want[d, i] = (sum(p[0] for p in hits), sum(not p[0] for p in hits), max(p[1] for p in hits), min(p[2] for p in hits))
+    df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.exact, r.near, r.best, r.first_word) for r in leaks.leaked(df, held).collect()}
+    assert got == want and sum(w[0] == 0 for w in want.values()) >= 30
+    equal = {(r.doc_id, r.item_id): r.exact for r in leaks.leaked(df, held, near=False).collect()}
+    assert equal == {k: w[0] for k, w in want.items() if w[0]}
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
