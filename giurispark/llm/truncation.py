@@ -3,10 +3,11 @@
 Every text is cut into tokens (runs of letters; numbers as one class; single marks; line
 ends). Word trigrams are counted inside all texts and at their ends. The final trigram
 of a text is joined to those counts on its first two tokens and the start of the third:
-an unfinished last word is found as the start of longer words seen in that place. A
-final trigram that is frequent inside texts but, other texts considered, almost never
+an unfinished last word, of one letter or more, is found as the start of longer words
+seen in that place. A final trigram that is frequent inside texts but, other texts considered, almost never
 terminal is evidence that the text was cut; one that others end with too is evidence
-that it was not. An exact check of the last line, the open brackets, quotations and
+that it was not, unless that trigram is known only as the start of longer words and more
+texts go on with these than end there. An exact check of the last line, the open brackets, quotations and
 fences then decides, and is alone where the counts are too small to tell.
 
 A text's own end never counts for itself, and equal texts count once, so a table of
@@ -50,12 +51,23 @@ SELECT id, grp, s, h, coalesce(try_element_at(w, -3), '') AS a, coalesce(try_ele
 FROM tokens WHERE size(w) > 0
 """
 
-#: For every final trigram: the same inside, and the same with a longer last word inside.
+#: Trigrams inside texts and at their ends by the start of the last word: with that word, and for shorter starts the sums over all longer words.
+STARTS = f"""
+SELECT a, b, left(c, {STEM}) AS start, c, n, 0 AS n_final FROM inner_counts
+UNION ALL SELECT a, b, left(c, {STEM}), c, 0, n_end FROM final
+UNION ALL SELECT a, b, start, NULL, sum(n), sum(n_final) FROM (
+  SELECT a, b, n, n_final, explode(transform(sequence(1, least({STEM}, length(c)) - 1), k -> left(c, k))) AS start
+  FROM (SELECT a, b, c, n, 0 AS n_final FROM inner_counts UNION ALL SELECT a, b, c, 0, n_end FROM final) WHERE length(c) > 1 AND c rlike '^\\\\p{{L}}')
+  GROUP BY a, b, start
+"""
+
+#: For every final trigram: the same inside, the same with a longer last word inside, and how many other texts end with a longer last word.
 EVIDENCE = f"""
 SELECT f.a, f.b, f.c, f.n_end,
        coalesce(sum(CASE WHEN i.c = f.c THEN i.n END), 0) AS n_same,
-       coalesce(sum(CASE WHEN i.c <> f.c AND f.c rlike '^\\\\p{{L}}' AND startswith(i.c, f.c) THEN i.n END), 0) AS n_longer
-FROM final f LEFT JOIN inner_counts i ON f.a = i.a AND f.b = i.b AND left(f.c, {STEM}) = left(i.c, {STEM})
+       coalesce(sum(CASE WHEN f.c rlike '^\\\\p{{L}}' AND (i.c IS NULL OR i.c <> f.c AND startswith(i.c, f.c)) THEN i.n END), 0) AS n_longer,
+       coalesce(sum(CASE WHEN f.c rlike '^\\\\p{{L}}' AND (i.c IS NULL OR i.c <> f.c AND startswith(i.c, f.c)) THEN i.n_final END), 0) AS n_beyond
+FROM final f LEFT JOIN starts i ON f.a = i.a AND f.b = i.b AND left(f.c, {STEM}) = i.start
 GROUP BY f.a, f.b, f.c, f.n_end
 """
 
@@ -88,16 +100,16 @@ SELECT id, grp,
        WHEN closed THEN NULL
        WHEN stopped THEN CASE WHEN never AND abbreviation THEN 'sentence' END
        WHEN terminal THEN NULL
-       WHEN n_longer > n_same THEN 'word'
+       WHEN n_longer > n_same OR n_same + n_longer = 0 AND n_beyond >= n_end THEN 'word'
        ELSE 'sentence' END AS cut,
   never, n_same + n_longer AS n_inside, n_end
 FROM (SELECT *, OPEN_RULE AS open, CLOSED_RULE AS closed,
         last rlike '^([-*•]|\\p{N}+[.)])$' AS marker,
         (last rlike '[.!?][\\p{Pe}\\p{Pf}"\'*_`|]*$' OR last rlike '[\\}\\]]`*$' OR last rlike '</\\p{L}+>$' OR last rlike '[!?»”]$') AS stopped,
         right(last, 14) rlike '(?i)(^|[^\\p{L}])(\\p{L}|artt?|sez|cass|civ|pen|n|nn|cfr|es|pag|dott|avv|s\\.r|s\\.p|s\\.n|corte cost|trib)\\.$' AS abbreviation,
-        (n_end - 1) >= 2 AND (n_end - 1) >= SHARE * (n_same + n_longer) AND last rlike '^(\\S+\\s+){0,4}\\S+$' AS terminal,
+        (n_end - 1) >= 2 AND (n_end - 1) >= SHARE * (n_same + n_longer) AND (n_same > 0 OR (n_end - 1) > n_longer + n_beyond) AND last rlike '^(\\S+\\s+){0,4}\\S+$' AS terminal,
         (n_same + n_longer) >= SUPPORT AND (n_end - 1) < SHARE * (n_same + n_longer) AS never
-      FROM (SELECT e.id, e.grp, e.s, v.n_end, v.n_same, v.n_longer, element_at(split(e.s, '\n\\s*\n'), -1) AS p, trim(element_at(split(e.s, '\n'), -1)) AS last
+      FROM (SELECT e.id, e.grp, e.s, v.n_end, v.n_same, v.n_longer, v.n_beyond, element_at(split(e.s, '\n\\s*\n'), -1) AS p, trim(element_at(split(e.s, '\n'), -1)) AS last
             FROM ends e JOIN evidence v ON e.a = v.a AND e.b = v.b AND e.c = v.c))
 """
 
@@ -111,7 +123,7 @@ def truncated(texts: DataFrame, key: str, text: str, group: str, support: int =
     texts.createOrReplaceTempView(view)
     try:  # the plan is resolved here; the name is not needed any longer
         return spark.sql(
-            f"WITH texts AS (SELECT * FROM {view}), tokens AS ({TOKENS}), inner_counts AS ({INNER}), ends AS ({ENDS}), final AS ({FINAL}), evidence AS ({EVIDENCE}) {decide}"
+            f"WITH texts AS (SELECT * FROM {view}), tokens AS ({TOKENS}), inner_counts AS ({INNER}), ends AS ({ENDS}), final AS ({FINAL}), starts AS ({STARTS}), evidence AS ({EVIDENCE}) {decide}"
         )
     finally:
         spark.catalog.dropTempView(view)

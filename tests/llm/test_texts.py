@@ -101,6 +101,14 @@ def test_truncation(spark):
     assert [whole[i - len(broken)] for i in range(len(broken), len(broken) + len(whole)) if got[i] is not None] == []
 
 
+def test_last_words_cut_after_one_or_two_letters(spark):
+    broken = ["La parte attrice ha violato l'obbligo di fe", "La parte attrice ha violato l'obbligo di f", *[f"{t}\nIl giudice numero c" for t in FULL[:3]], *[f"{t}\n\nCordiali sa" for t in FULL[3:6]]]
+    whole = [*FULL, *[f"{t}\n\nCordiali saluti" for t in FULL[:4]]]
+    got = cut_of(spark, broken + whole)
+    assert [got[i] for i in range(len(broken))] == ["word"] * len(broken)
+    assert [got[i] for i in range(len(broken), len(broken) + len(whole))] == [None] * len(whole)
+
+
 def test_truncation_of_nothing(spark):
     assert cut_of(spark, ["", "  ", None]) == {}
     assert truncation.truncated(spark.createDataFrame([], "score_id long, model_output string, model string"), "score_id", "model_output", "model").count() == 0
