@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from giurispark.llm import leaks, neardup, packing, votes
 from giurispark.llm.forms import words
@@ -91,6 +92,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert set(reps) == set(s)
 
 
+def test_components_of_long_chains(spark):
+    n = 300
+    ids = random.Random(3).sample(range(10_000), n)
+    chain = list(zip(ids, ids[1:])) + [(20_000 + i, 20_000 + (i + 1) % n) for i in range(1, n)] + [(40_000, 40_001), (40_001, 40_000)]
+    nodes = sorted({x for e in chain for x in e} | {50_000})
+    got = {r.id: r.component for r in neardup.components(spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: min(ids) if i < 10_000 else 20_000 if i < 40_000 else 40_000 if i < 50_000 else 50_000 for i in nodes}
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame(chain, "a long, b long"), rounds=2)
+
+
 def test_near_duplicates_of_nothing(spark):
     table = neardup.features(spark.createDataFrame([], "id long, text string"))
     assert table.count() == 0 and neardup.class_pairs(table).count() == 0
