@@ -172,14 +172,17 @@ def p5_pairs(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
-    """Every ruling with the class of equal texts, its group of near copies and its number of links to other classes."""
-    features = neardup.features(_records(spark, base))
+    """Every ruling with the class of equal texts, its group of near copies and its number of links to other classes; one of fewer than three words is a class of its own."""
+    records = _records(spark, base)
+    features = neardup.features(records)
     members, links = neardup.classes(features), cut(neardup.class_pairs(features))
     groups = neardup.components(members.where("id = rep").select("id"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    short = records.select(F.col("id").cast("long").alias("id")).join(features.select("id"), "id", "left_anti")
     return (
         members.join(groups.select(F.col("id").alias("rep"), "component"), "rep").join(degree, "rep", "left")
         .select(F.col("id").alias("prov_id"), F.col("rep").alias("class_id"), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        .unionByName(short.select(F.col("id").alias("prov_id"), F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).alias("links")))
     )
 
 

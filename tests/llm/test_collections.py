@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from giurispark.llm import leaks, neardup, packing, votes
+from giurispark.llm import leaks, neardup, packing, queries, votes
 from giurispark.llm.forms import words
 
 T0 = dt.datetime(2024, 1, 1)
@@ -92,6 +92,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert set(reps) == set(s)
 
 
+def test_groups_have_a_row_for_every_record(spark, tmp_path):
+    rows = [(1, "uno due tre quattro", None), (2, "Uno due tre", ["quattro"]), (3, None, None), (4, "", []), (5, "due parole", None), (6, "altro testo del tutto", None)]
+    spark.createDataFrame(rows, "prov_id long, facts string, principles array<string>").write.parquet(f"{tmp_path}/provvedimenti.parquet")
+    got = sorted(tuple(r) for r in queries.p5_groups(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1, 0), (2, 1, 1, 0), *[(i, i, i, 0) for i in (3, 4, 5, 6)]]
+
+
 def test_components_of_long_chains(spark):
     n = 300
     ids = random.Random(3).sample(range(10_000), n)
