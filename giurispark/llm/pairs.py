@@ -270,7 +270,7 @@ def other_language(text: str, answer: list[str], question_text: str, question: l
         rest = leftover(answer, question)
     if len(rest) < 6:
         return False
-    if (a := script(" ".join(rest[:200]))) and (b := script(question_text)) and a != b:
+    if (a := script(" ".join(rest))) and (b := script(question_text)) and a != b:
         return True
     (ours, sure), (theirs, clear) = language(rest), language(question)
     return bool(ours and theirs) and ours != theirs and sure >= 0.5 and clear >= 0.5

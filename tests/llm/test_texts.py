@@ -131,6 +131,12 @@ def test_judgement(answer, defect):
     assert pairs.judge(answer, QUESTION) == defect
 
 
+def test_script_of_the_whole_answer():
+    latin, greek = "Il giudice di appello ha respinto la domanda della parte civile. ", "Το δικαστήριο απέρριψε την αίτηση του ενάγοντος ως αβάσιμη. "
+    assert pairs.judge(latin * 20 + greek * 60, QUESTION) == "other_language"
+    assert pairs.judge(greek * 25 + latin * 80, QUESTION) is None
+
+
 def test_missing_question_and_parser():
     assert pairs.judge(ANSWER, None) is None
     assert pairs.parse("a (b [c").stack == ["(", "["] and pairs.parse("```\n( \n```").stack == [] and pairs.parse("a\n2. ").dangling and pairs.parse("<div><p>x</p>").stack == ["<div>"]
