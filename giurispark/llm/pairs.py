@@ -137,19 +137,22 @@ COURTEOUS = re.compile(
     r"\b(?:grazie|mi dispiace|spiacente|spiace|chiedo scusa|mi scuso|purtroppo|ho letto|comprendo|capisco|si consiglia|consiglio di|la invito|si rivolga|rivolgersi|consultare|se desidera|posso aiutare|in quanto|cordiali saluti|sono un|"
     r"sorry|thank|unfortunately|as an ai|please|consult|however|i understand|es tut mir leid|leider|danke|bitte|entschuldigung|als ki|wenden sie|desole|merci|malheureusement|veuillez|consultez|lo siento|gracias|por favor|lamento|consulte)\b"
 )
-#: An answer of at most so many words can be a refusal; longer ones give their reasons for an answer.
-REFUSAL_WORDS = 80
+#: Words of a sentence that can refuse or be courteous, what is beyond them is substance; words of substance any refusal may have, and their share in a long one.
+REFUSAL_SENTENCE, SUBSTANCE, SUBSTANCE_SHARE = 40, 6, 0.1
 
 
 def is_refusal(text: str) -> bool:
-    if len(text) > 20 * REFUSAL_WORDS:
-        return False
     sentences = [" ".join(w) for part in re.split(r"[.!?\n]+(?=\s|$)", text) if (w := words(part))]
-    if not sentences or sum(s.count(" ") + 1 for s in sentences) > REFUSAL_WORDS:
-        return False
-    refusing = [s for s in sentences if REFUSES.search(s) and not re.search(r"\bnon posso che\b|\bcannot but\b", s)]
-    rest = [s for s in sentences if s not in refusing and not COURTEOUS.search(s)]
-    return bool(refusing) and sum(s.count(" ") + 1 for s in rest) <= 6
+    sizes = [s.count(" ") + 1 for s in sentences]
+    long = sum(sizes) > 80  # a short text may be one sentence
+    allowed, refusing, substance = max(SUBSTANCE, SUBSTANCE_SHARE * sum(sizes)) if long else SUBSTANCE, False, 0
+    for s, n in zip(sentences, sizes):
+        declines = bool(REFUSES.search(s)) and not re.search(r"\bnon posso che\b|\bcannot but\b", s)
+        refusing |= declines
+        substance += (max(0, n - REFUSAL_SENTENCE) if long else 0) if declines or COURTEOUS.search(s) else n
+        if substance > allowed:
+            return False
+    return refusing
 
 
 # ---- copies ----------------------------------------------------------------------------

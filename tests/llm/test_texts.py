@@ -131,6 +131,13 @@ def test_judgement(answer, defect):
     assert pairs.judge(answer, QUESTION) == defect
 
 
+def test_long_refusals():
+    reasons = "Mi dispiace, ma non posso rispondere a questa domanda. Non sono in grado di valutare gli atti del giudizio, in quanto non dispongo del fascicolo. Preferisco non esprimere un parere su una causa pendente. "
+    referral = "La invito a rivolgersi a un avvocato di fiducia. Si consiglia di consultare l'ordine forense del luogo. "
+    assert len((reasons * 3 + referral * 3).split()) > 80 and pairs.is_refusal(reasons * 3 + referral * 3) and pairs.is_refusal((reasons + referral) * 10)
+    assert not pairs.is_refusal(reasons + ANSWER * 4) and not pairs.is_refusal(" ".join([ANSWER.rstrip(".")] * 4) + ", ma non posso rispondere sul resto.")
+
+
 def test_script_of_the_whole_answer():
     latin, greek = "Il giudice di appello ha respinto la domanda della parte civile. ", "Το δικαστήριο απέρριψε την αίτηση του ενάγοντος ως αβάσιμη. "
     assert pairs.judge(latin * 20 + greek * 60, QUESTION) == "other_language"
