@@ -28,17 +28,25 @@ from giurispark.session import spread
 #: Letters of the last word by which longer words are found.
 STEM = 3
 
-TOKENS = r"""
-SELECT id, grp, s, xxhash64(s) AS h, regexp_extract_all(regexp_replace(lower(s), '\\p{N}+', '0'), '([\\p{L}\\p{M}]+|0|\n|[^\\s\\p{L}\\p{M}\\p{N}])', 1) AS w
-FROM (
+WORDS = r"regexp_extract_all(regexp_replace(lower(s), '\\p{N}+', '0'), '([\\p{L}\\p{M}]+|0|\n|[^\\s\\p{L}\\p{M}\\p{N}])', 1)"
+#: Texts without the marks of a cut at their end.
+PLAIN = r"""
+SELECT id, grp, s, xxhash64(s) AS h FROM (
   SELECT id, grp, regexp_replace(regexp_replace(text, '[\\p{Cf}]', ''), '(?U)(\\s|…|\\.\\.\\.|<\\p{L}+>|\\[\\s*(?!(?i)omissis)(\\p{L}+|…|\\.\\.\\.)\\s*\\]|\\(\\s*(continua|segue|…|\\.\\.\\.)\\s*\\))+$', '') AS s
   FROM texts WHERE text IS NOT NULL) WHERE length(s) > 0
 """
+TOKENS = f"""
+SELECT id, grp, s, h, {WORDS} AS w FROM plain
+"""
+#: Equal texts once.
+DIFFERENT = f"""
+SELECT {WORDS} AS w FROM (SELECT first(s) AS s FROM plain GROUP BY h)
+"""
 
-#: Trigrams inside texts: all but the last.
+#: Trigrams inside different texts: all but the last.
 INNER = """
 SELECT t.x AS a, t.y AS b, t.z AS c, count(*) AS n FROM (
-  SELECT explode(zip_with(zip_with(slice(w, 1, size(w) - 3), slice(w, 2, size(w) - 3), (x, y) -> named_struct('x', x, 'y', y)), slice(w, 3, size(w) - 3), (p, z) -> named_struct('x', p.x, 'y', p.y, 'z', z))) AS t FROM tokens WHERE size(w) >= 4)
+  SELECT explode(zip_with(zip_with(slice(w, 1, size(w) - 3), slice(w, 2, size(w) - 3), (x, y) -> named_struct('x', x, 'y', y)), slice(w, 3, size(w) - 3), (p, z) -> named_struct('x', p.x, 'y', p.y, 'z', z))) AS t FROM different WHERE size(w) >= 4)
 GROUP BY t.x, t.y, t.z
 """
 
@@ -123,7 +131,7 @@ def truncated(texts: DataFrame, key: str, text: str, group: str, support: int =
     texts.createOrReplaceTempView(view)
     try:  # the plan is resolved here; the name is not needed any longer
         return spark.sql(
-            f"WITH texts AS (SELECT * FROM {view}), tokens AS ({TOKENS}), inner_counts AS ({INNER}), ends AS ({ENDS}), final AS ({FINAL}), starts AS ({STARTS}), evidence AS ({EVIDENCE}) {decide}"
+            f"WITH texts AS (SELECT * FROM {view}), plain AS ({PLAIN}), tokens AS ({TOKENS}), different AS ({DIFFERENT}), inner_counts AS ({INNER}), ends AS ({ENDS}), final AS ({FINAL}), starts AS ({STARTS}), evidence AS ({EVIDENCE}) {decide}"
         )
     finally:
         spark.catalog.dropTempView(view)

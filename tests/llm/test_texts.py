@@ -109,6 +109,12 @@ def test_last_words_cut_after_one_or_two_letters(spark):
     assert [got[i] for i in range(len(broken), len(broken) + len(whole))] == [None] * len(whole)
 
 
+def test_a_repeated_answer_counts_once_inside(spark):
+    whole = [f"{t}\n\nCordiali saluti" for t in FULL[:4]]
+    hot = f"{FULL[4]}\n\nCordiali saluti\n\n{FULL[5]}"
+    assert set(cut_of(spark, whole + [hot] * 300).values()) == {None}
+
+
 def test_truncation_of_nothing(spark):
     assert cut_of(spark, ["", "  ", None]) == {}
     assert truncation.truncated(spark.createDataFrame([], "score_id long, model_output string, model string"), "score_id", "model_output", "model").count() == 0
