@@ -85,3 +85,27 @@ def kappa(panels: DataFrame, x: str = "a", y: str = "b") -> DataFrame:
     n = F.col("n").cast("double")
     chance = (F.col("px") * F.col("py") + (n - F.col("px")) * (n - F.col("py"))) / (n * n)
     return both.select("n", F.when(F.col("n") > 0, F.when(chance == 1, 1.0).otherwise((F.col("same") / n - chance) / (1 - chance))).alias("kappa")).withColumn("kappa", F.round("kappa", 6))
+
+
+def explained(decided: DataFrame) -> Column:
+    """The verdict in words, by method and supporters."""
+    support = F.array_join(F.transform("supporters", lambda j: F.concat(F.lit("Judge "), j)), " e ")
+    how = F.when(F.col("method") == "initial_agreement", "con consenso iniziale.").when(F.col("method") == "tie_breaker", "dopo attivazione del tie-breaker.").otherwise("dopo attivazione del recovery judge.")
+    return F.when(F.col("method") == "unresolved", "Verdetto UNRESOLVED: non esistono due voti validi concordi.").otherwise(F.concat(F.lit("Verdetto "), F.upper("verdict"), F.lit(" sostenuto da "), support, F.lit(" "), how))
+
+
+def completed(criteria: DataFrame, votes: DataFrame, item: list[str], judges: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """A vote of each judge for every criterion: the one cast, or an error vote where none is.
+
+    criteria: item columns, each once; votes: as last_votes gives them. The judges are a fixed few, spelled out per criterion.
+    """
+    asked = criteria.select(*item, F.explode(F.array(*[F.lit(j) for j in judges])).alias("judge"))
+    given = votes.select(*item, "judge", "verdict", "status", "valid")
+    return asked.join(given, [*item, "judge"], "left").select(
+        *item, "judge", F.when(F.col("valid"), F.col("verdict")).alias("verdict"), F.when(F.col("status").isNull(), "missing").when(F.col("valid"), "ok").otherwise("error").alias("status")
+    )
+
+
+def adapted(criteria: DataFrame, verdicts: DataFrame, item: list[str], missing: str) -> DataFrame:
+    """Criteria with their verdict; one without gets ``missing`` (unresolved for a panel, fail for a single output)."""
+    return criteria.join(verdicts.select(*item, "verdict"), item, "left").withColumn("verdict", F.coalesce("verdict", F.lit(missing)))

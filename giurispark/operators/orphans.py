@@ -8,7 +8,9 @@ for the key's interval of validity.
 
 A key that many references share makes its range hot: references are dealt to as many
 slots of the range as their count needs, and only such a range's parents are copied to
-its slots. No group is larger than ``batch`` references plus one range of parents.
+its slots. There are as many ranges as keep the parents of one near ``PARENTS``, so no group
+is larger than ``batch`` references plus that. Ranges of key hashes stand for ranges of keys:
+they hold even shares without a sample, and equality is all that is asked of keys.
 
 Cases: a null reference key is no reference; a key that has no canonical form matches
 nothing and is ``missing``; a null time matches no interval (``late`` if the key exists);
@@ -35,28 +37,23 @@ OUT = T.StructType([
 ])
 
 
+#: Parents a range holds on average, at most; an end that never comes.
+PARENTS, ALWAYS = 100_000, 2**63 - 1
+
+
 def parents_by_key(registry: DataFrame, key: Column, start: str, end: str) -> DataFrame:
-    """One row per key: its distinct validity intervals, sorted."""
-    return (
-        registry.select(key.alias("key"), F.col(start).cast("timestamp_ntz").alias("s"), F.col(end).cast("timestamp_ntz").alias("e"))
-        .where("key is not null")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.when(F.col("s").isNotNull(), F.struct(F.unix_micros(F.col("s").cast("timestamp")).alias("s"), F.unix_micros(F.col("e").cast("timestamp")).alias("e"))))).alias("spans"))
-    )
-
-
-def _disjoint(spans: list[dict]) -> list[tuple[int, int]]:
-    """Union of half-open intervals given in order of their start."""
-    out: list[list[int]] = []
-    for span in spans:
-        a, b = span["s"], np.iinfo(np.int64).max if span["e"] is None else span["e"]
-        if b <= a:
-            continue
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    """One row per key: when it was first loaded, and the starts and ends of its periods of validity, sorted and disjoint."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp"))
+    rows = registry.select(key.alias("key"), micros(start).alias("s"), micros(end).alias("e")).where("key is not null")
+    spans = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", F.coalesce("e", F.lit(ALWAYS)).alias("e"))))).alias("spans"))
+    # neighbours that touch become one; of a key's loads there are few
+    joined = F.aggregate(
+        F.filter("spans", lambda x: x["e"] > x["s"]), F.expr("CAST(array() AS array<struct<s: bigint, e: bigint>>)"),
+        lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["e"] >= x["s"]),
+                               F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(done, F.lit(-1))["e"], x["e"]).alias("e")))))
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    return spans.select("key", F.get("spans", F.lit(0))["s"].alias("first"), joined.alias("spans")).select("key", "first", F.transform("spans", lambda x: x["s"]).alias("starts"), F.transform("spans", lambda x: x["e"]).alias("ends"))
 
 
 def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
@@ -64,33 +61,24 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
     kinds = np.full(n, "missing", dtype=object)
     keep = np.ones(n, dtype=bool)
     if n and m:
-        order = np.argsort(parents["h"].to_numpy(), kind="stable")
-        hashes, keys = parents["h"].to_numpy()[order], np.array(parents["key"].to_pylist(), dtype=object)[order]
-        spans = parents["spans"].to_pylist()
-        owner, starts, ends, first = [], [], [], np.full(m, np.iinfo(np.int64).max)
-        for rank, at in enumerate(order):
-            if spans[at]:
-                first[rank] = spans[at][0]["s"]
-            for a, b in _disjoint(spans[at]):
-                owner.append(rank)
-                starts.append(a)
-                ends.append(b)
-        owner, starts, ends = (np.array(x, dtype=np.int64) for x in (owner, starts, ends))
-        want, wanted = refs["h"].to_numpy(), np.array(refs["key"].to_pylist(), dtype=object)
+        parents = parents.take(pc.sort_indices(parents["h"])).combine_chunks()
+        hashes, keys = parents["h"].to_numpy(), parents["key"].combine_chunks()
+        first = pc.fill_null(parents["first"], ALWAYS).to_numpy()
+        lists = parents["starts"].combine_chunks()
+        starts, ends = lists.flatten().to_numpy(), parents["ends"].combine_chunks().flatten().to_numpy()
+        owner = np.repeat(np.arange(m), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        want, wanted = refs["h"].to_numpy(), refs["key"].combine_chunks()
         at = np.searchsorted(hashes, want)
         found = np.full(n, -1, dtype=np.int64)
-        live = at < m
-        live[live] &= hashes[at[live]] == want[live]
-        while live.any():  # one round, and one more for each further key of the same hash
-            i = np.flatnonzero(live)
-            hit = keys[at[i]] == wanted[i]
-            found[i[hit]] = at[i[hit]]
-            at[i[~hit]] += 1
-            live[i[hit]] = False
-            rest = i[~hit]
-            inside = at[rest] < m
-            live[rest[~inside]] = False
-            live[rest[inside]] = hashes[at[rest[inside]]] == want[rest[inside]]
+        live = np.flatnonzero(at < m)
+        live = live[hashes[at[live]] == want[live]]
+        while len(live):  # one round, and one more for each further key of the same hash
+            hit = pc.equal(keys.take(pa.array(at[live])), wanted.take(pa.array(live))).to_numpy(zero_copy_only=False).astype(bool)
+            found[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < m]
+            live = live[hashes[at[live]] == want[live]]
         there = found >= 0
         known = ~pc.is_null(refs["t"]).to_numpy()
         t = pc.fill_null(refs["t"], 0).to_numpy()
@@ -123,7 +111,7 @@ def orphans(refs: DataFrame, registry: DataFrame, canonical: Callable[[Column],
     )
     parents = parents_by_key(registry, canonical(F.col("key")), start, end)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, (4 * slots - 1).bit_length())
+    bits = max(4 * slots - 1, registry.count() // PARENTS).bit_length()  # rows bound the keys of a range
     ranged = lambda df: df.withColumn("h", F.xxhash64("key")).withColumn("r", F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0))
     refs, parents = ranged(refs), ranged(parents)
     load = refs.groupBy("r").count().select("r", F.ceil(F.col("count") / batch).cast("int").alias("n_slots")).where("n_slots > 1")
@@ -132,7 +120,7 @@ def orphans(refs: DataFrame, registry: DataFrame, canonical: Callable[[Column],
         F.unix_micros(F.col("ref_time").cast("timestamp")).alias("t"),
         F.when(F.col("n_slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("src_table", "record_key"), F.col("n_slots"))).cast("int").alias("slot"),
     )
-    parents = parents.join(F.broadcast(load), "r", "left").select("key", "h", "spans", "r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_slots"), F.lit(1)) - 1)).alias("slot"))
+    parents = parents.join(F.broadcast(load), "r", "left").select("key", "h", "first", "starts", "ends", "r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_slots"), F.lit(1)) - 1)).alias("slot"))
     found = refs.groupBy("r", "slot").cogroup(parents.groupBy("r", "slot")).applyInArrow(_probe, OUT)
     # a record repeated as it was gives one row; the same key at several times, the first kind in order of time
     return found.groupBy("src_table", "record_key").agg(F.min(F.struct("ref_time", "kind")).alias("x")).select("src_table", "record_key", "x.kind", "x.ref_time")

@@ -47,35 +47,46 @@ def current_registry(registry: DataFrame) -> DataFrame:
 
 
 def components(citations: DataFrame) -> DataFrame:
-    """Citations with normalised fields, one row per citation_id."""
-    canon = ecli.canonical(F.col("ecli"))
-    fields = {
-        "score_id": F.col("score_id"), "task_id": F.col("task_id"), "text": F.col("text"), "outside": F.coalesce("outside_index_scope", F.lit(False)), "ecli": canon, "suggested": F.upper(ecli.strip(F.col("suggested_namespace"))),
-        "year": ecli.year(F.col("year")), "number": ecli.number(F.col("number")), "legal_area": ecli.legal_area(F.col("legal_area")), "doc_type": ecli.doc_type(F.col("doc_type")), "division": division(F.col("section")),
-    }
-    one = citations.groupBy("citation_id").agg(*[F.max(v).alias(k) for k, v in fields.items()])
-    return one.select("citation_id", "score_id", "task_id", "text", "outside", "ecli", ecli.namespace_for(F.col("ecli"), F.col("suggested")).alias("namespace"), "year", "number", "legal_area", "doc_type", "division")
+    """Citations with normalised fields, one row per citation_id: of rows that differ the greatest one, whole."""
+    raw = ["score_id", "task_id", "text", "ecli", "suggested_namespace", "number", "year", "legal_area", "section", "doc_type", "outside_index_scope"]
+    one = citations.groupBy("citation_id").agg(F.max(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in raw])).alias("r"))
+    r = {c: ecli.nonempty(F.col(f"r.{c}")) for c in raw}
+    one = one.select("citation_id", r["score_id"].cast("long").alias("score_id"), r["task_id"].alias("task_id"), r["text"].alias("text"), F.coalesce(r["outside_index_scope"].cast("boolean"), F.lit(False)).alias("outside"),
+                     ecli.canonical(r["ecli"]).alias("ecli"), F.upper(ecli.strip(r["suggested_namespace"])).alias("suggested"), ecli.year(r["year"]).alias("year"), ecli.number(r["number"]).alias("number"),
+                     ecli.legal_area(r["legal_area"]).alias("legal_area"), ecli.doc_type(r["doc_type"]).alias("doc_type"), division(r["section"]).alias("division"), sector(r["section"]).alias("section_sector"))
+    space = ecli.namespace_for(F.col("ecli"), F.col("suggested"))
+    return one.withColumn("namespace", space).select(
+        "citation_id", "score_id", "task_id", "text", "outside", "ecli", "namespace", "year", "number", "legal_area", "doc_type", "division", F.when(F.col("namespace") == "CASS", F.col("section_sector")).alias("sector")
+    )
 
 
 def diagnostics(mine: dict[str, Column], theirs: dict[str, Column]) -> tuple[Column, Column]:
-    """(mismatched fields, incomplete fields) as arrays, of a citation against a registry row."""
+    """(mismatched fields, incomplete fields) as arrays, of a citation against a registry row.
+
+    A field the registry lacks is incomplete. Two fields speak for another: a plenary ruling is of no other division, and
+    the labour section has no criminal rulings.
+    """
     area, kind, sect = theirs["area"], theirs["type"], theirs["sector"]
     differs = lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)
     lacks = lambda a, b: a.isNotNull() & b.isNull()
     plenary = mine["division"].isNotNull() & sect.eqNullSafe(F.lit("SU")) & (mine["division"] != "SU")
+    criminal = (mine["sector"] == "L") & sect.isNull() & area.eqNullSafe(F.lit("PEN"))
     mismatch = F.array_compact(F.array(
-        F.when(differs(mine["legal_area"], area), "legalArea"), F.when(differs(mine["doc_type"], kind), "docType"), F.when(plenary, "division"),
+        F.when(differs(mine["legal_area"], area), "legalArea"), F.when(differs(mine["doc_type"], kind), "docType"), F.when(differs(mine["sector"], sect) | criminal, "sector"), F.when(plenary, "division"),
     ))
     incomplete = F.array_compact(F.array(
-        F.when(lacks(mine["legal_area"], area), "legalArea"), F.when(lacks(mine["doc_type"], kind), "docType"), F.when(mine["division"].isNotNull() & ~plenary, "division"),
+        F.when(lacks(mine["legal_area"], area), "legalArea"), F.when(lacks(mine["doc_type"], kind), "docType"), F.when(lacks(mine["sector"], sect) & ~criminal, "sector"), F.when(mine["division"].isNotNull() & ~plenary, "division"),
     ))
     return mismatch, incomplete
 
 
-def _joined(citations: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+def with_diagnostics(citations: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     reg = registry.select(F.col("ecli").alias("hit"), F.col("namespace").alias("hit_namespace"), F.col("norm_area").alias("r_area"), F.col("norm_type").alias("r_type"), F.col("norm_sector").alias("r_sector"))
-    joined = citations.join(reg, (F.col(key) == F.col("hit")) & (F.col("namespace") == F.col("hit_namespace")), "left")
-    mismatch, incomplete = diagnostics({k: F.col(k) for k in ("legal_area", "doc_type", "division")}, {"area": F.col("r_area"), "type": F.col("r_type"), "sector": F.col("r_sector")})
+    # merit courts: links part number and progressive by '-', the registry by '.'
+    last = F.substring_index(F.col(key), ":", -1)
+    indexed = F.when(last.contains("-"), F.concat(F.expr(f"left({key}, length({key}) - length(substring_index({key}, ':', -1)))"), F.expr(f"concat(substring_index(substring_index({key}, ':', -1), '-', 1), '.', substr(substring_index({key}, ':', -1), locate('-', substring_index({key}, ':', -1)) + 1))"))).otherwise(F.col(key))
+    joined = citations.withColumn("_id", indexed).join(reg, (F.col("_id") == F.col("hit")) & (F.col("namespace") == F.col("hit_namespace")), "left").drop("_id")
+    mismatch, incomplete = diagnostics({k: F.col(k) for k in ("legal_area", "doc_type", "division", "sector")}, {"area": F.col("r_area"), "type": F.col("r_type"), "sector": F.col("r_sector")})
     return joined.withColumns({"mismatch": mismatch, "incomplete": incomplete})
 
 
@@ -93,7 +104,7 @@ def _out(df: DataFrame) -> DataFrame:
 def exact(citations: DataFrame, registry: DataFrame) -> DataFrame:
     """Citations with an ECLI, explicit or built from complete metadata (column target)."""
     found = F.col("hit").isNotNull()
-    return _out(_joined(citations, registry, "target").withColumns({
+    return _out(with_diagnostics(citations, registry, "target").withColumns({
         "status": F.when(found, "resolved").otherwise("not_found"), "accuracy": F.when(found, _accuracy(F.col("mismatch"), F.col("incomplete"))).otherwise("unknown"),
         "matched": F.col("hit"), "candidates": found.cast("int"), "requested": F.array("target"),
     }))
@@ -104,7 +115,7 @@ def cassation(citations: DataFrame, registry: DataFrame) -> DataFrame:
     requested, other = ecli.cass_candidates(F.col("year"), F.col("number"), F.col("legal_area"))
     wide = citations.withColumns({"requested": requested, "homonyms": other})
     each = wide.withColumn("candidate", F.explode(F.concat(F.transform("requested", lambda x: F.struct(x.alias("id"), F.lit(True).alias("asked"))), F.transform("homonyms", lambda x: F.struct(x.alias("id"), F.lit(False).alias("asked"))))))
-    joined = _joined(each.withColumns({"id": F.col("candidate.id"), "asked": F.col("candidate.asked")}), registry, "id")
+    joined = with_diagnostics(each.withColumns({"id": F.col("candidate.id"), "asked": F.col("candidate.asked")}), registry, "id")
     hit = F.col("hit").isNotNull() & F.col("asked")
     coherent, clean = hit & (F.size("mismatch") == 0), hit & (F.size("mismatch") == 0) & (F.size("incomplete") == 0)
     keys = ["citation_id", "score_id", "task_id", "text", "namespace", "ecli"]
@@ -126,14 +137,19 @@ def cassation(citations: DataFrame, registry: DataFrame) -> DataFrame:
 def prefix_hits(citations: DataFrame, registry: DataFrame, cap: int = PREFIX_CAP) -> DataFrame:
     """The first registry ids that start with each citation's prefix.
 
-    A prefix names court and year as whole parts, so those join by equality and only the rest compares by start;
-    citations of equal prefix share one lookup, and the cap applies before any other filter.
+    A prefix names court and year as whole parts and the start of the last one. Rulings of the courts and years asked for
+    (a semi-join) give every start of their last part, so all of it is one equality join, and a court with many rulings in
+    a year is spread by those starts. Citations of equal prefix share one lookup, and the cap applies before any other filter,
+    first within each task.
     """
-    wanted = citations.select("namespace", "prefix").distinct().withColumns({"court": ecli.part(F.col("prefix"), 2), "y": ecli.part(F.col("prefix"), 3)})
-    reg = registry.withColumns({"court_part": ecli.part(F.col("ecli"), 2), "year_part": ecli.part(F.col("ecli"), 3)}).withColumnsRenamed({"namespace": "r_namespace", "ecli": "hit", "court": "r_court", "year": "r_year", "number": "r_number", "norm_area": "r_area", "norm_type": "r_type"})
-    on = (F.col("namespace") == F.col("r_namespace")) & (F.col("court") == F.col("court_part")) & (F.col("y") == F.col("year_part")) & F.col("hit").startswith(F.col("prefix"))
+    wanted = citations.select("namespace", "prefix").distinct().withColumns({"court": ecli.part(F.col("prefix"), 2), "y": ecli.part(F.col("prefix"), 3), "start": ecli.part(F.col("prefix"), 4)})
+    reg = registry.withColumns({"court_part": ecli.part(F.col("ecli"), 2), "year_part": ecli.part(F.col("ecli"), 3), "last": F.substring_index("ecli", ":", -1)}).withColumnsRenamed({"namespace": "r_namespace", "ecli": "hit", "court": "r_court", "year": "r_year", "number": "r_number", "norm_area": "r_area", "norm_type": "r_type"})
+    asked = wanted.groupBy("namespace", "court", "y").agg(F.min(F.length("start")).alias("least"), F.max(F.length("start")).alias("most"))
+    near = reg.join(asked, (F.col("r_namespace") == F.col("namespace")) & (F.col("court_part") == F.col("court")) & (F.col("year_part") == F.col("y"))).drop("namespace", "court", "y").where(F.length("last") >= F.col("least"))
+    starts = near.withColumn("r_start", F.explode(F.transform(F.sequence("least", F.least("most", F.length("last"))), lambda n: F.expr("last").substr(F.lit(1), n)))).drop("least", "most", "last")
+    on = (F.col("namespace") == F.col("r_namespace")) & (F.col("court") == F.col("court_part")) & (F.col("y") == F.col("year_part")) & (F.col("start") == F.col("r_start"))
     order = Window.partitionBy("namespace", "prefix").orderBy("hit")
-    return wanted.join(reg, on).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+    return wanted.join(starts, on).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
 
 
 def by_prefix(citations: DataFrame, registry: DataFrame) -> DataFrame:
@@ -168,9 +184,12 @@ def route(parts: DataFrame) -> DataFrame:
     return parts.withColumns({"method": branch, "target": F.coalesce("ecli", built), "prefix": start})
 
 
-def resolve(citations: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row per citation: status, accuracy, matched ECLI, number of candidates, and the public final status."""
-    routed, reg = cut(route(components(citations))), cut(current_registry(registry))  # five branches read them
+def resolve(citations: DataFrame, registry: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """One row per citation: status, accuracy, matched ECLI, number of candidates, and the public final status.
+
+    current: the registry as current_registry gives it, written once, where the caller has it already.
+    """
+    routed, reg = cut(route(components(citations))), current if current is not None else cut(current_registry(registry))  # five branches read them
     plain = lambda status, accuracy: {
         "status": F.lit(status), "accuracy": F.lit(accuracy), "matched": F.lit(None).cast("string"), "candidates": F.lit(0), "requested": F.array().cast("array<string>"),
     }
@@ -200,24 +219,33 @@ def registry_coverage(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     return places, years
 
 
-def ground(resolved: DataFrame, profiles: DataFrame, places: DataFrame) -> DataFrame:
-    """Relation of each citation to its task's profile (task_id, ecli, resolving), one row for each pair.
+def ground(resolved: DataFrame, profiles: DataFrame, places: DataFrame, years: DataFrame | None = None) -> DataFrame:
+    """Relation of each citation to its task's profile (task_id, ecli, resolving), one row for each pair, and a note on coverage.
 
     A source that is not found counts as fabricated unless its court is not in the registry at all, or it is a court of
-    merit cited without identifier.
+    merit cited without identifier. A Cassation year the registry covers poorly (not in years) is noted and counts all the
+    same; where no year is covered, nothing is noted.
     """
     profile = profiles.groupBy("task_id", "ecli").agg(F.max("resolving").alias("resolving")).select(F.col("task_id").alias("p_task"), F.col("ecli").alias("p_ecli"), "resolving")
     joined = resolved.join(profile, (F.col("task_id") == F.col("p_task")) & (F.col("matched") == F.col("p_ecli")), "left")
     # of an explicit or built identifier the court decides; all requested ones of a citation share it
-    court = ecli.part(F.coalesce(F.get("requested", F.lit(0)), F.col("ecli")), 2)
-    joined = joined.withColumn("court_part", court).join(places.select(F.col("place").alias("court_part"), F.lit(True).alias("covered")), "court_part", "left")
+    named = F.coalesce(F.get("requested", F.lit(0)), F.col("ecli"))
+    joined = joined.withColumns({"court_part": ecli.part(named, 2), "year_part": F.when(ecli.part(named, 2) == "CASS", ecli.year(ecli.part(named, 3)))})
+    joined = joined.join(places.select(F.col("place").alias("court_part"), F.lit(True).alias("covered")), "court_part", "left")
+    if years is None:
+        joined = joined.withColumn("poor_year", F.lit(False))
+    else:
+        known = years.select(F.col("year").alias("year_part"), F.lit(True).alias("year_covered"))
+        some = years.agg((F.count("*") > 0).alias("any_year"))  # one row
+        joined = joined.join(known, "year_part", "left").crossJoin(F.broadcast(some)).withColumn("poor_year", F.col("any_year") & F.col("year_part").isNotNull() & F.col("year_covered").isNull())
     credit = F.col("final_status").isin("resolved_local_registry_exact", "resolved_local_registry_incomplete") & F.col("matched").isNotNull()
-    unverifiable = (F.col("court_part").isNotNull() & F.col("covered").isNull()) | (F.col("court_part").isNull() & F.col("text").rlike(MERIT_COURT))
+    absent, merit = F.col("court_part").isNotNull() & F.col("covered").isNull(), F.col("court_part").isNull() & F.coalesce(F.col("text").rlike(MERIT_COURT), F.lit(False))
     relation = (
         F.when(credit & F.col("resolving"), "issue_aligned").when(credit & F.col("p_ecli").isNotNull(), "retrieved_only").when(credit, "outside_profile")
-        .when((F.col("final_status") == "not_found_in_index") & ~F.coalesce(unverifiable, F.lit(False)), "fabricated_or_not_found").otherwise("unresolved")
+        .when((F.col("final_status") == "not_found_in_index") & ~(absent | merit), "fabricated_or_not_found").otherwise("unresolved")
     )
-    return joined.select(*resolved.columns, relation.alias("relation"))
+    note = F.when(absent, "court_not_in_registry").when(F.col("poor_year"), "year_poorly_covered").when(merit, "merit_court_without_identifier")
+    return joined.select(*resolved.columns, relation.alias("relation"), F.when(F.col("final_status") == "not_found_in_index", note).alias("note"))
 
 
 def relation_counts(grounded: DataFrame, *keys: str) -> DataFrame:

@@ -116,3 +116,107 @@ def false_premise_summary(scored: DataFrame, *keys: str) -> DataFrame:
 
 def with_area(scores: DataFrame) -> DataFrame:
     return scores.withColumn("macro_area", area_of_task(F.col("task_id")))
+
+
+# ---- citation side of a score -----------------------------------------------------------------
+
+
+def citation_scores(grounded: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row per score with citations: what was extracted, relevant, outside the profile, invented or open, and the shares of it.
+
+    grounded: score_id, task_id, matched, final_status, relation; gold: task_id, required, acceptable (sizes of the task's profile).
+    Coverage is the share of required sources that are cited, relevance the share of the verifiable citations that the
+    profile knows, the score their mean; each is null where its denominator is 0.
+    """
+    rel = lambda r: F.count_if(F.col("relation") == r)
+    per = grounded.groupBy("score_id", "task_id").agg(
+        F.count("*").alias("citations_extracted_count"), (rel("issue_aligned") + rel("retrieved_only")).alias("citations_relevant_count"), rel("outside_profile").alias("citations_outside_gold_count"),
+        rel("fabricated_or_not_found").alias("citations_fabricated_count"), rel("unresolved").alias("citations_unresolved_count"),
+        F.countDistinct(F.when(F.col("relation") == "issue_aligned", F.col("matched"))).alias("required_hit"), F.countDistinct(F.when(F.col("relation") == "retrieved_only", F.col("matched"))).alias("citation_acceptable_matched_count"),
+        F.count_if(F.col("final_status").isin("resolved_local_registry_exact", "resolved_local_registry_incomplete", "resolved_local_registry_metadata_mismatch", "ambiguous_local_registry")).alias("existence_confirmed_count"),
+        F.count_if(F.col("final_status").isin("not_found_in_index", "resolver_error", "citation_extraction_error")).alias("existence_unresolved_count"),
+        F.count_if(F.col("final_status") == "citation_extraction_error").alias("citation_extraction_error_count"),
+    )
+    return per.join(gold, "task_id", "left")
+
+
+def scored_citations(scores: DataFrame) -> DataFrame:
+    """Scores (left-joined with citation_scores) with their citation status, verdict and shares; a score without citations is not cited, a false-premise task has none to judge."""
+    zero = {c: F.coalesce(c, F.lit(0)) for c in (
+        "citations_extracted_count", "citations_relevant_count", "citations_outside_gold_count", "citations_fabricated_count", "citations_unresolved_count", "required_hit", "citation_acceptable_matched_count",
+        "existence_confirmed_count", "existence_unresolved_count", "citation_extraction_error_count", "required", "acceptable",
+    )}
+    df = scores.withColumns(zero).withColumnsRenamed({"required": "citation_required_count", "acceptable": "citation_acceptable_count"})
+    n, fake, open_ = F.col("citations_extracted_count"), F.col("citations_fabricated_count"), F.col("citations_unresolved_count")
+    df = df.withColumns({
+        "citation_required_matched_count": F.least("required_hit", "citation_required_count"), "citations_evaluable_count": n - fake - open_, "citation_fabrication_rate": F.round(F.try_divide(fake, n), 6),
+    }).drop("required_hit")
+    df = df.withColumns({"citation_coverage_score": F.round(F.try_divide("citation_required_matched_count", "citation_required_count"), 6), "citation_relevance_score": F.round(F.try_divide("citations_relevant_count", "citations_evaluable_count"), 6)})
+    status = F.when(~F.col("standard"), "not_applicable").when(n == 0, "not_cited").when(F.col("citations_evaluable_count") + fake == 0, "incomplete").otherwise("complete")
+    df = df.withColumns({
+        "citation_score": F.round((F.coalesce("citation_coverage_score", "citation_relevance_score") + F.coalesce("citation_relevance_score", "citation_coverage_score")) / 2, 6), "citation_scoring_status": status, "citation_hard_fail": fake > 0,
+    })
+    full = F.coalesce(F.col("citation_coverage_score"), F.lit(1.0)) == 1.0
+    verdict = F.when(F.col("citation_scoring_status") == "not_applicable", "not_applicable").when(F.col("citation_scoring_status") == "not_cited", "nc").when(F.col("citation_scoring_status") == "incomplete", "unresolved").when(full & (fake == 0), "pass").otherwise("fail")
+    return df.withColumns({"citation_verdict": verdict, "citation_applicable": F.col("standard")})
+
+
+def batch_metrics() -> list[Column]:
+    """Every metric of a batch over scored_citations with verdicts, methods (n_initial_agreement ...) and calls (calls_a ...); citation metrics over scores that citations apply to."""
+    app = F.col("citation_applicable")
+    cited = app & (F.col("citation_scoring_status") == "complete")
+    total = lambda c, of=None: F.coalesce(F.sum(F.when(of, F.col(c)) if of is not None else F.col(c)), F.lit(0))
+    is_ = lambda v, of=app: F.count_if(of & (F.col("citation_verdict") == v))
+    mean = lambda c: F.round(F.avg(F.when(cited, F.col(c))), 6)
+    perfect, valued = F.count_if(cited & (F.col("citation_score") == 1.0)), F.count(F.when(cited, F.col("citation_score")))
+    n_app, n_cited, done = F.count_if(app), F.count_if(cited), F.col("status") == "complete"
+    fake, evaluable = total("citations_fabricated_count", app), total("citations_evaluable_count", app)
+    kept = [c for c in batch_aggregates() if _name(c) in ("n_tasks", "n_complete", "n_incomplete", "n_allpass", "allpass_rate", "required_criterion_pass_rate", "bonus_pass_rate", "unresolved_rate", "n_unresolved", "criteria_evaluated")]
+    return [
+        *kept, rate(F.count_if(done & F.col("all_pass")), F.count_if(done)).alias("reasoning_allpass_rate"),
+        *[total(f"calls_{j}").alias(f"judge_calls_{j}") for j in "abc"],
+        total("n_initial_agreement").alias("initial_agreements"), total("n_tie_breaker").alias("tie_breakers"), total("n_recovery_agreement").alias("recoveries"), total("n_method_unresolved").alias("unresolved_criteria"), total("calls_c").alias("judge_c_evaluated_criteria"),
+        n_cited.alias("citation_complete_tasks"), is_("unresolved").alias("citation_incomplete_tasks"), F.count_if(app & (F.col("existence_unresolved_count") > 0) & (F.col("existence_confirmed_count") == 0)).alias("citation_existence_unresolved_tasks"),
+        is_("nc").alias("citation_not_cited_tasks"), F.count_if(~app).alias("citation_not_applicable_tasks"), is_("pass", cited).alias("citation_pass_tasks"), is_("fail", cited).alias("citation_fail_tasks"), perfect.alias("citation_perfect_tasks"),
+        rate(perfect, valued).alias("citation_perfect_rate"), mean("citation_score").alias("citation_mean_score"), mean("citation_coverage_score").alias("citation_mean_coverage_score"), mean("citation_relevance_score").alias("citation_mean_relevance_score"),
+        rate(is_("pass", cited), is_("pass", cited) + is_("fail", cited)).alias("citation_all_pass_rate"), rate(is_("pass", cited), n_cited).alias("citation_pass_rate"), rate(is_("fail", cited), n_cited).alias("citation_fail_rate"),
+        rate(is_("nc"), n_app).alias("citation_nc_rate"), rate(is_("unresolved"), n_app).alias("citation_unresolved_rate"), rate(n_cited, n_app).alias("citation_complete_coverage"), rate(n_cited, n_app).alias("citation_scoring_coverage"),
+        total("citation_required_count", app).alias("citation_required_total"), total("citation_required_matched_count", app).alias("citation_required_matched_total"),
+        (total("citation_required_count", app) - total("citation_required_matched_count", app)).alias("citation_required_missing_total"), F.coalesce(F.sum(F.when(app & (F.col("citation_scoring_status") == "incomplete"), F.col("citation_required_count"))), F.lit(0)).alias("citation_required_unresolved_total"),
+        rate(total("citation_required_matched_count", app), total("citation_required_count", app)).alias("required_citation_coverage_rate"),
+        F.count_if(cited & (F.col("citation_coverage_score") == 1.0)).alias("citation_minimum_complete_tasks"), F.count_if(cited & (F.col("citation_coverage_score") < 1.0)).alias("citation_minimum_incomplete_tasks"),
+        rate(total("citations_relevant_count", app), evaluable).alias("citation_relevant_rate"), F.count_if(app & (F.col("citations_outside_gold_count") > 0)).alias("citation_outside_gold_tasks"),
+        rate(fake, evaluable + fake).alias("citation_fabrication_rate"), rate(fake, evaluable + fake).alias("confirmed_fabrication_rate"), rate(total("existence_unresolved_count", app), evaluable).alias("unresolved_verification_rate"),
+        F.count_if(app & (F.col("citations_extracted_count") > 0)).alias("tasks_with_citations"), (total("citation_required_count", app) + total("citation_acceptable_count", app)).alias("citation_gold_total"),
+        total("citations_extracted_count", app).alias("citations_extracted_total"), (total("citation_required_matched_count", app) + total("citation_acceptable_matched_count", app)).alias("citations_matched_gold_total"),
+        total("citations_relevant_count", app).alias("citations_relevant_total"), evaluable.alias("citations_evaluable_total"), total("citations_outside_gold_count", app).alias("citations_outside_gold_total"), fake.alias("citations_fabricated_total"),
+        total("citations_unresolved_count", app).alias("citations_unresolved_total"), total("citation_extraction_error_count", app).alias("citation_extraction_error_total"), F.count_if(app & (F.col("citation_extraction_error_count") > 0)).alias("citation_extraction_error_tasks"),
+    ]
+
+
+def _name(column: Column) -> str:
+    return column._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
+
+
+def greatest_counts(recounted: DataFrame, reported: DataFrame, key: str, statuses: tuple[str, ...]) -> DataFrame:
+    """Per key the counts of each status: the greater of what is recounted (one column a status) and what a report says; a side without the key counts 0."""
+    r = reported.select(key, *[F.col(s).alias(f"_{s}") for s in statuses])
+    return recounted.join(r, key, "full").select(key, *[F.greatest(F.coalesce(s, F.lit(0)), F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in statuses])
+
+
+def panel_of_tasks(tasks: DataFrame, answers: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Every false-premise task with its score, whether answered or not: a missing or blank answer fails with 0.
+
+    tasks: task_id and what is kept of it; answers: task_id, score_id, model_output (one row for each task, or none); criteria: score_id, verdict.
+    """
+    return false_premise(tasks.join(answers, "task_id", "left"), criteria)
+
+
+def panel_diagnostics(criteria: DataFrame, calls: DataFrame, *keys: str) -> DataFrame:
+    """Methods and judge calls of the panel per key. criteria: keys, method (null: single); calls: keys, judge."""
+    method = F.coalesce("method", F.lit("single"))
+    methods = criteria.groupBy(*keys).agg(
+        F.count("*").alias("criteria_evaluated"), *[F.count_if(method == m).alias(a) for m, a in (("initial_agreement", "initial_agreements"), ("tie_breaker", "tie_breakers"), ("recovery_agreement", "recoveries"), ("unresolved", "unresolved_criteria"))]
+    )
+    used = calls.groupBy(*keys).agg(*[F.count_if(F.col("judge") == j).alias(f"calls_{j.lower()}") for j in "ABC"], (F.count_if(F.col("judge") == "C") > 0).alias("judge_c_used"))
+    return methods.join(used, list(keys), "left")

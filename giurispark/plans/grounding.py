@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from giurispark.functions import ecli
 from giurispark.operators import resolution as res
 from giurispark.plans.references import _CANON
+from giurispark.session import cut
 from giurispark.sources.tables import table
 
 
@@ -29,8 +30,9 @@ def _profiles(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _grounded(spark: SparkSession, base: str) -> DataFrame:
-    places, _ = res.registry_coverage(_registry(spark, base))
-    return res.ground(_resolved(spark, base), _profiles(spark, base), places)
+    registry = cut(_registry(spark, base))  # what covers and what resolves is the same
+    places, years = res.registry_coverage(registry)
+    return res.ground(res.resolve(table(spark, base, "citations"), registry, registry), _profiles(spark, base), places, years)
 
 
 def registry_current(spark: SparkSession, base: str) -> DataFrame:
@@ -91,6 +93,18 @@ def citation_relations(spark: SparkSession, base: str) -> DataFrame:
     return _grounded(spark, base).select("citation_id", "final_status", "relation")
 
 
+def sector_conflicts(spark: SparkSession, base: str) -> DataFrame:
+    """Fields in which citations with an identifier contradict the registry or go beyond it, by section and registered sector."""
+    routed = res.route(res.components(table(spark, base, "citations"))).where("method IN ('exact_ecli', 'constructed_ecli')")
+    joined = res.with_diagnostics(routed, _registry(spark, base), "target").where("hit IS NOT NULL")
+    return joined.groupBy("sector", "division", F.col("r_sector"), F.array_join("mismatch", "+").alias("mismatch"), F.array_join("incomplete", "+").alias("incomplete")).agg(F.count("*").alias("n"))
+
+
+def coverage_notes(spark: SparkSession, base: str) -> DataFrame:
+    """What stands in the way of verifying citations that are not found."""
+    return _grounded(spark, base).where("final_status = 'not_found_in_index'").groupBy("relation", "note").agg(F.count("*").alias("n"))
+
+
 def citation_relation_hist(spark: SparkSession, base: str) -> DataFrame:
     return res.relation_counts(_grounded(spark, base))
 
@@ -125,7 +139,7 @@ def coverage_namespaces(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     registry_current, registry_stats, registry_coverage_years, registry_places, citation_components, citation_routes, prefix_topk, resolution_states, resolution_counts, status_histogram,
-    report_summary, citation_relations, citation_relation_hist, grounding_by_task, grounding_gog_coverage, grounding_fixed_tasks, profile_sizes, coverage_namespaces,
+    report_summary, citation_relations, sector_conflicts, coverage_notes, citation_relation_hist, grounding_by_task, grounding_gog_coverage, grounding_fixed_tasks, profile_sizes, coverage_namespaces,
 )}
 
 WS = "E' \\t\\n\\r'"
@@ -137,25 +151,31 @@ _FIELDS = ["namespace", "court", "year", "number", "legal_area", "doc_type", "se
 REG = f"""WITH loads AS (SELECT {_CANON.format('ecli')} AS ecli, max({{'loaded_at': loaded_at, """ + ", ".join(f"'{f}': coalesce(CAST({f} AS VARCHAR), '')" for f in _FIELDS) + f"""}}) AS r FROM registry WHERE ecli IS NOT NULL GROUP BY 1),
 reg AS (SELECT ecli, nullif(r.namespace, '') AS namespace, nullif(r.court, '') AS court, CAST(nullif(r.year, '') AS INT) AS year, CAST(nullif(r.number, '') AS BIGINT) AS number, nullif(r.legal_area, '') AS legal_area, nullif(r.doc_type, '') AS doc_type,
   nullif(r.sector, '') AS sector, nullif(r.publication_date, '') AS publication_date FROM loads WHERE ecli IS NOT NULL AND r.deleted_at = ''),
+years AS (SELECT year FROM reg WHERE namespace = 'CASS' GROUP BY year HAVING count(*) >= 1000),
 places AS (SELECT DISTINCT place FROM (SELECT unnest([namespace, court]) AS place FROM reg) WHERE place IS NOT NULL)
 """
-PARTS = REG + f""", one AS (SELECT citation_id, max(score_id) AS score_id, max(task_id) AS task_id, max(text) AS text, {_CANON.format('max(ecli)')} AS ecli, max(suggested_namespace) AS ns, max(number) AS number, max(year) AS year, max(legal_area) AS legal_area, max(section) AS section, max(doc_type) AS doc_type, bool_or(outside_index_scope) AS outside FROM citations GROUP BY citation_id),
-parts AS (SELECT citation_id, score_id, task_id, text, coalesce(outside, false) AS outside, ecli, coalesce({_space}, CASE WHEN upper(trim(ns, {WS})) IN ('CASS', 'MER', 'ADM', 'COST', 'CONT', 'TAX', 'ABF', 'COVIP') THEN upper(trim(ns, {WS})) END) AS namespace,
+_sect = f"(CASE WHEN {_words('r.sector')} IN ('SU', 'SS UU', 'SEZ UN', 'SEZ UNITE', 'SEZIONI UNITE', 'CASSSU') THEN 'SU' WHEN {_words('r.sector')} IN ('L', 'LAV', 'LAVORO', 'SEZ L', 'SEZ LAV', 'SEZ LAVORO', 'CASSLAV') THEN 'L' END)"
+_RAW = ["score_id", "task_id", "text", "ecli", "suggested_namespace", "number", "year", "legal_area", "section", "doc_type", "outside_index_scope"]
+PARTS = REG + """, best AS (SELECT citation_id, max({""" + ", ".join(f"'{c}': coalesce(CAST({c} AS VARCHAR), '')" for c in _RAW) + f"""}}) AS r FROM citations GROUP BY citation_id),
+one AS (SELECT citation_id, CAST(r.score_id AS BIGINT) AS score_id, nullif(r.task_id, '') AS task_id, nullif(r.text, '') AS text, {_CANON.format("nullif(r.ecli, '')")} AS ecli, nullif(r.suggested_namespace, '') AS ns, nullif(r.number, '') AS number, CAST(nullif(r.year, '') AS INT) AS year,
+  nullif(r.legal_area, '') AS legal_area, nullif(r.section, '') AS section, nullif(r.doc_type, '') AS doc_type, r.outside_index_scope = 'true' AS outside FROM best),
+plain_parts AS (SELECT citation_id, score_id, task_id, text, coalesce(outside, false) AS outside, ecli, coalesce({_space}, CASE WHEN upper(trim(ns, {WS})) IN ('CASS', 'MER', 'ADM', 'COST', 'CONT', 'TAX', 'ABF', 'COVIP') THEN upper(trim(ns, {WS})) END) AS namespace,
   CASE WHEN year BETWEEN 1000 AND 9999 THEN year END AS year, CASE WHEN regexp_full_match(trim(number, {WS}), '[0-9]+') THEN coalesce(nullif(ltrim(trim(number, {WS}), '0'), ''), '0') END AS number, {_area('legal_area')} AS legal_area, {_kind('doc_type')} AS doc_type,
-  nullif(regexp_replace({_words('section')}, '^(SEZ|SEZIONE) ', ''), '') AS division FROM one),
+  nullif(regexp_replace({_words('section')}, '^(SEZ|SEZIONE) ', ''), '') AS division, {_sect.replace('r.sector', 'section')} AS section_sector FROM one),
+parts AS (SELECT * EXCLUDE (section_sector), CASE WHEN namespace = 'CASS' THEN section_sector END AS sector FROM plain_parts),
 routed AS (SELECT *, CASE WHEN outside THEN 'outside' WHEN namespace IS NULL OR (namespace = 'COVIP' AND ecli IS NULL) THEN 'insufficient' WHEN ecli IS NOT NULL THEN 'exact_ecli' WHEN year IS NULL OR number IS NULL THEN 'insufficient'
     WHEN namespace = 'CASS' THEN 'cassation' WHEN namespace IN ('COST', 'ABF') THEN 'constructed_ecli' WHEN namespace = 'CONT' THEN 'prefix' ELSE 'insufficient' END AS method,
   coalesce(ecli, CASE WHEN year IS NOT NULL AND number IS NOT NULL THEN CASE WHEN namespace = 'CASS' AND legal_area IS NOT NULL THEN 'ECLI:IT:CASS:' || year || ':' || number || legal_area WHEN namespace IN ('COST', 'ABF') THEN 'ECLI:IT:' || namespace || ':' || year || ':' || number END END) AS target,
   CASE WHEN year IS NOT NULL AND number IS NOT NULL THEN CASE WHEN namespace = 'CASS' AND legal_area IS NULL THEN 'ECLI:IT:CASS:' || year || ':' || number WHEN namespace = 'CONT' THEN 'ECLI:IT:CONT:' || year || ':' || number END END AS prefix FROM parts)
 """
-_sect = f"(CASE WHEN {_words('r.sector')} IN ('SU', 'SS UU', 'SEZ UN', 'SEZ UNITE', 'SEZIONI UNITE', 'CASSSU') THEN 'SU' WHEN {_words('r.sector')} IN ('L', 'LAV', 'LAVORO', 'SEZ L', 'SEZ LAV', 'SEZ LAVORO', 'CASSLAV') THEN 'L' END)"
 _plenary = f"(coalesce(c.division <> 'SU', false) AND coalesce({_sect} = 'SU', false))"
-_mis = f"(coalesce(c.legal_area <> {_area('r.legal_area')}, false)::INT + coalesce(c.doc_type <> {_kind('r.doc_type')}, false)::INT + {_plenary}::INT)"
-_inc = f"((c.legal_area IS NOT NULL AND {_area('r.legal_area')} IS NULL)::INT + (c.doc_type IS NOT NULL AND {_kind('r.doc_type')} IS NULL)::INT + (c.division IS NOT NULL AND NOT {_plenary})::INT)"
+_sector_mis = f"(coalesce(c.sector <> {_sect}, false) OR (coalesce(c.sector = 'L', false) AND {_sect} IS NULL AND coalesce({_area('r.legal_area')} = 'PEN', false)))"
+_mis = f"(coalesce(c.legal_area <> {_area('r.legal_area')}, false)::INT + coalesce(c.doc_type <> {_kind('r.doc_type')}, false)::INT + {_plenary}::INT + {_sector_mis}::INT)"
+_inc = f"((c.legal_area IS NOT NULL AND {_area('r.legal_area')} IS NULL)::INT + (c.doc_type IS NOT NULL AND {_kind('r.doc_type')} IS NULL)::INT + (c.division IS NOT NULL AND NOT {_plenary})::INT + (c.sector IS NOT NULL AND {_sect} IS NULL AND NOT {_sector_mis})::INT)"
 PREFIX = """, hits AS (SELECT p.namespace, p.prefix, r.ecli AS hit, r.court, r.year AS r_year, r.number AS r_number, r.legal_area AS r_area, r.doc_type AS r_type, row_number() OVER (PARTITION BY p.namespace, p.prefix ORDER BY r.ecli) AS place
   FROM (SELECT DISTINCT namespace, prefix FROM routed WHERE prefix IS NOT NULL{0}) p JOIN reg r ON r.namespace = p.namespace AND split_part(r.ecli, ':', 4) = split_part(p.prefix, ':', 4) AND starts_with(r.ecli, p.prefix) QUALIFY place <= 25)
 """
-RESOLVED = PARTS + PREFIX.format(" AND method = 'prefix'") + f""", keep AS (SELECT citation_id, score_id, task_id, text, namespace, ecli, method, target, prefix, year, number, legal_area, doc_type, division FROM routed),
+RESOLVED = PARTS + PREFIX.format(" AND method = 'prefix'") + f""", keep AS (SELECT citation_id, score_id, task_id, text, namespace, ecli, method, target, prefix, year, number, legal_area, doc_type, division, sector FROM routed),
 x AS (SELECT c.*, r.ecli AS hit, {_mis} AS mis, {_inc} AS inc FROM keep c LEFT JOIN reg r ON r.ecli = c.target AND r.namespace = c.namespace WHERE method IN ('exact_ecli', 'constructed_ecli')),
 cand AS (SELECT c.*, unnest(CASE c.legal_area WHEN 'CIV' THEN ['CIV', 'PEN'] WHEN 'PEN' THEN ['PEN', 'CIV'] ELSE ['CIV', 'PEN'] END) AS suffix FROM keep c WHERE method = 'cassation'),
 cj AS (SELECT c.*, c.legal_area IS NULL OR c.suffix = c.legal_area AS asked, r.ecli AS hit, {_mis} AS mis, {_inc} AS inc FROM cand c LEFT JOIN reg r ON r.ecli = 'ECLI:IT:CASS:' || c.year || ':' || c.number || c.suffix AND r.namespace = 'CASS'),
@@ -182,7 +202,9 @@ _PROFILES = f"""profiles AS (SELECT task_id, ecli, bool_or(resolving) AS resolvi
 _credit = "(f.final_status IN ('resolved_local_registry_exact', 'resolved_local_registry_incomplete') AND f.matched IS NOT NULL)"
 _court = "split_part(coalesce(f.requested[1], f.ecli), ':', 3)"
 GROUNDED = RESOLVED + "," + _PROFILES + f""", grounded AS (SELECT f.citation_id, f.score_id, f.task_id, f.final_status, CASE WHEN {_credit} AND p.resolving THEN 'issue_aligned' WHEN {_credit} AND p.ecli IS NOT NULL THEN 'retrieved_only' WHEN {_credit} THEN 'outside_profile'
-  WHEN f.final_status = 'not_found_in_index' AND NOT coalesce(({_court} IS NOT NULL AND {_court} <> '' AND pl.place IS NULL) OR (coalesce(f.requested[1], f.ecli) IS NULL AND regexp_matches(f.text, '(?i)\\b(Trib\\.|Tribunale|App\\.|Corte d[''’]appello|Corte di appello)')), false) THEN 'fabricated_or_not_found' ELSE 'unresolved' END AS relation
+  WHEN f.final_status = 'not_found_in_index' AND NOT coalesce(({_court} IS NOT NULL AND {_court} <> '' AND pl.place IS NULL) OR (coalesce(f.requested[1], f.ecli) IS NULL AND regexp_matches(f.text, '(?i)\\b(Trib\\.|Tribunale|App\\.|Corte d[''’]appello|Corte di appello)')), false) THEN 'fabricated_or_not_found' ELSE 'unresolved' END AS relation,
+  CASE WHEN f.final_status <> 'not_found_in_index' THEN NULL WHEN {_court} <> '' AND pl.place IS NULL THEN 'court_not_in_registry' WHEN {_court} = 'CASS' AND (SELECT count(*) FROM years) > 0 AND CAST(split_part(coalesce(f.requested[1], f.ecli), ':', 4) AS INT) NOT IN (SELECT year FROM years) THEN 'year_poorly_covered'
+    WHEN coalesce(f.requested[1], f.ecli) IS NULL AND regexp_matches(f.text, '(?i)\\b(Trib\\.|Tribunale|App\\.|Corte d[''’]appello|Corte di appello)') THEN 'merit_court_without_identifier' END AS note
   FROM final f LEFT JOIN profiles p ON p.task_id = f.task_id AND p.ecli = f.matched LEFT JOIN places pl ON pl.place = {_court})
 """
 _HIST = "count(*) AS citations_total, " + ", ".join(f"count(*) FILTER (relation = '{r}') AS {r}" for r in res.RELATIONS)
@@ -201,6 +223,11 @@ ORACLE = {
     "status_histogram": RESOLVED + "SELECT s AS final_status, count(f.final_status) AS n FROM (SELECT unnest([" + ", ".join(f"'{s}'" for s in res.STATUSES) + "]) AS s) LEFT JOIN final f ON f.final_status = s GROUP BY s",
     "report_summary": RESOLVED + "SELECT score_id, count(*) AS citations, count(DISTINCT coalesce(nullif(array_to_string(list_sort(requested), '|'), ''), ecli, text)) AS distinct_keys, count(*) FILTER (status = 'resolved') AS resolved, bool_or(final_status = 'not_found_in_index') AS hard_fail FROM final GROUP BY score_id",
     "citation_relations": GROUNDED + "SELECT citation_id, final_status, relation FROM grounded",
+    "sector_conflicts": PARTS + f"""SELECT c.sector, c.division, {_sect} AS r_sector,
+  concat_ws('+', CASE WHEN c.legal_area <> {_area('r.legal_area')} THEN 'legalArea' END, CASE WHEN c.doc_type <> {_kind('r.doc_type')} THEN 'docType' END, CASE WHEN {_sector_mis} THEN 'sector' END, CASE WHEN {_plenary} THEN 'division' END) AS mismatch,
+  concat_ws('+', CASE WHEN c.legal_area IS NOT NULL AND {_area('r.legal_area')} IS NULL THEN 'legalArea' END, CASE WHEN c.doc_type IS NOT NULL AND {_kind('r.doc_type')} IS NULL THEN 'docType' END, CASE WHEN c.sector IS NOT NULL AND {_sect} IS NULL AND NOT {_sector_mis} THEN 'sector' END, CASE WHEN c.division IS NOT NULL AND NOT {_plenary} THEN 'division' END) AS incomplete, count(*) AS n
+FROM routed c JOIN reg r ON r.ecli = c.target AND r.namespace = c.namespace WHERE c.method IN ('exact_ecli', 'constructed_ecli') GROUP BY ALL""",
+    "coverage_notes": GROUNDED + "SELECT relation, note, count(*) AS n FROM grounded WHERE final_status = 'not_found_in_index' GROUP BY ALL",
     "citation_relation_hist": GROUNDED + f"SELECT {_HIST} FROM grounded",
     "grounding_by_task": GROUNDED + f"SELECT task_id, score_id, {_HIST} FROM grounded GROUP BY ALL",
     "grounding_gog_coverage": GOG.replace("DENOMINATOR", "any_value(records)"),

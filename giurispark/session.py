@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("GIURISPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
     )
@@ -29,17 +33,22 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests, one machine) make one."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir; only on one machine, where it is unset, make one and drop it at the end."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="giurispark-checkpoint-"))
+        if not shared:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            shared = tempfile.mkdtemp(prefix="giurispark-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df once in the reliable checkpoint folder and go on from those files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)  # its files go with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
