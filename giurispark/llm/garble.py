@@ -91,7 +91,7 @@ def _odd(text: str) -> int:
 def decode_spans(text: str) -> tuple[str, int]:
     """Decode maximal well-formed spans until none is left, each time in the code page that leaves the fewest odd characters."""
     total = 0
-    for _ in range(4):
+    while True:  # every round makes the text shorter
         tries = [(_odd(got), -spans, rank, got) for rank, codec in enumerate(MULTI) if LEADS[codec].search(text) for got, spans in [_decode_runs(text, codec)] if spans]
         if not tries or (best := min(tries))[0] > _odd(text):
             break

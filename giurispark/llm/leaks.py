@@ -19,8 +19,8 @@ Candidates are verified on the words themselves: equal windows, or windows whose
 Jaccard similarity reaches ``similar``.
 
 The query set goes to the tasks in parts of at most ``part`` windows, so what is sent is
-bounded; more items mean more passes, not a larger broadcast. Documents are never
-shuffled.
+bounded; more items mean more passes, one after the other, not a larger broadcast.
+Documents are not shuffled, unless the scan has fewer parts than the cluster has cores.
 
 Cases: null and empty texts and items contain nothing; an item of fewer than ``width``
 words has no window and is never found; repeated documents are reported one by one.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from giurispark.llm.forms import words
-from giurispark.session import spread
+from giurispark.session import cut, spread
 
 OUT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("exact", T.IntegerType()),
@@ -261,14 +261,20 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = 12, radius: int
 
         return docs.mapInArrow(batches, OUT)
 
+    def add(found: DataFrame | None, q: Queries | Overlaps | None, more: bool) -> DataFrame | None:
+        if q is None:
+            return found
+        rows = run(q)
+        if found is not None or more:  # one part after the other: its tables leave the driver before the next ones come
+            rows = cut(rows)
+        return rows if found is None else found.unionByName(rows)
+
     out, some, size = None, [], 0
     for row in items.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator():
         some.append((row[0], row[1]))
         size += len(row[1]) // 4
         if size >= part:
-            if q := queries_of(some, width, radius, similar, near):
-                out = run(q) if out is None else out.unionByName(run(q))
+            out = add(out, queries_of(some, width, radius, similar, near), True)
             some, size = [], 0
-    if q := queries_of(some, width, radius, similar, near):
-        out = run(q) if out is None else out.unionByName(run(q))
+    out = add(out, queries_of(some, width, radius, similar, near), False)
     return out if out is not None else docs.sparkSession.createDataFrame([], OUT)

@@ -37,6 +37,8 @@ from giurispark.llm.forms import words
 from giurispark.session import cut, spread
 
 SEGMENTS, SYMBOLS = 20, 5
+#: Low bits of a key, which hold its segment.
+_SEGMENT_BITS = 31
 #: Odd multipliers and offsets of the minhash functions, from a fixed generator.
 _RNG = np.random.default_rng(20_240_601)
 _A = _RNG.integers(1, 2**63, SEGMENTS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,12 +76,13 @@ def keys(symbols: np.ndarray) -> np.ndarray:
     """Keys (segment by left-out symbol) of the radius-one balls."""
     seg = symbols.reshape(SEGMENTS, SYMBOLS).astype(np.uint64)
     out = np.empty((SEGMENTS, SYMBOLS), np.uint64)
+    own = np.arange(SEGMENTS, dtype=np.uint64)
     for gap in range(SYMBOLS):
         h = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(SYMBOLS) + np.uint64(gap + 1)
         for k in range(SYMBOLS):
             if k != gap:
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + seg[:, k])
-        out[:, gap] = h
+        out[:, gap] = h & ~np.uint64(_SEGMENT_BITS) | own
     return out.ravel()
 
 
@@ -121,20 +124,28 @@ def classes(table: DataFrame) -> DataFrame:
     return table.select("id", "cls", "cls2").join(reps, ["cls", "cls2"]).select("id", "rep")
 
 
-def _candidates(reps: DataFrame, block: int) -> DataFrame:
-    """Pairs (a < b) that share a key in two segments or more."""
-    posts = reps.select("id", F.posexplode("keys").alias("p", "key")).select("id", "key", F.floor(F.col("p") / SYMBOLS).cast("int").alias("seg"))
-    posts = cut(posts)
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posts = posts.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    posts = posts.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = posts.select("id", "key", "seg", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "id", "key", "seg", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+def _meetings(posts: DataFrame, key: str, block: int, *carried: str) -> DataFrame:
+    """(a, b, carried...) for every two ids (a < b) of a group; posts has id, the key and what is carried with it, which is equal in a group.
+
+    Groups of one are dropped by their count first. A group of more than block members is cut into blocks, and each pair of
+    blocks is a join key of its own, so no task holds a whole group; the count joins each posting by its key, where
+    adaptive execution splits a hot key (one row meets many).
+    """
+    sizes = posts.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = posts.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = own.select("id", key, *carried, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "id", key, *carried, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
     )
     a, b = cells.alias("a"), cells.alias("b")
-    same = F.expr("a.key = b.key AND a.lo = b.lo AND a.hi = b.hi AND a.id < b.id AND (a.lo = a.hi OR a.own <> b.own)")
-    pairs = a.join(b, same).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.expr("shiftleft(1, a.seg)").alias("bit"))
-    return pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") >= 2).select("a", "b")
+    same = F.expr(f"a.{key} = b.{key} AND a.lo = b.lo AND a.hi = b.hi AND a.id < b.id AND (a.lo = a.hi OR a.own <> b.own)")
+    return a.join(b, same).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), *[F.col(f"a.{c}").alias(c) for c in (key, *carried)])
+
+
+def _candidates(reps: DataFrame, block: int) -> DataFrame:
+    """Pairs (a < b) that share a key in two segments or more; a key's low bits name its segment."""
+    pairs = _meetings(reps.select("id", F.explode("keys").alias("key")), "key", block)
+    bit = F.expr(f"shiftleft(1, CAST(key & {_SEGMENT_BITS} AS INT))")
+    return pairs.groupBy("a", "b").agg(F.bit_or(bit).alias("bits")).where(F.bit_count("bits") >= 2).select("a", "b")
 
 
 def class_pairs(table: DataFrame, threshold: float = 0.6, block: int = 1000) -> DataFrame:
@@ -149,13 +160,11 @@ def class_pairs(table: DataFrame, threshold: float = 0.6, block: int = 1000) ->
     return near.select("a", "b", (common / (F.size("set_a") + F.size("set_b") - common)).alias("similarity"), "distance").where(F.col("similarity") >= threshold)
 
 
-def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def record_pairs(members: DataFrame, pairs: DataFrame, block: int = 1000) -> DataFrame:
     """All pairs of records (a < b): between the members of similar classes, and within classes. As large as what it lists."""
     left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    many = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
-    shared = members.join(many.select("rep"), "rep")
-    within = shared.select("rep", F.col("id").alias("a")).join(shared.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b")
+    within = _meetings(members, "rep", block).select("a", "b")
     return across.unionByName(within)
 
 

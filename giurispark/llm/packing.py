@@ -2,10 +2,13 @@
 
 Documents are counted in tokens of a public tokenizer and hashed to a vector (signed word
 hashes summed over a few random directions). The vector's place on a Hilbert curve is the
-sort key: neighbours on the curve are alike. The curve is cut into ranges by key and id,
-so a crowd of equal documents is spread too, and each range is packed by one pass along
-the curve: a window of neighbours at a time, largest first, into the open container it
-fits best; containers that stay open wait for the next window.
+sort key: neighbours on the curve are alike. The curve is cut into ranges of about ``RANGE``
+documents at cells of its first ``CELL_BITS`` bits, from the exact counts of the cells; a
+cell that holds more (a crowd of equal documents) is dealt to several ranges by id. Ranges
+do not depend on the cluster, so the same documents give the same containers, whose number
+is that of the range and a count within it. Each range is packed by one pass along the
+curve: a window of neighbours at a time, largest first, into the open container it fits
+best; containers that stay open wait for the next window.
 
 A document is split only if it alone exceeds the capacity: full pieces have containers of
 their own, its rest is packed like any other item.
@@ -20,11 +23,11 @@ import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +42,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 DIMENSIONS, BITS = 4, 12
 #: Documents looked at together, and containers left open between windows.
 WINDOW, OPEN = 1024, 256
+#: Documents of a range, and bits of the key that name a cell of the curve (their counts, at most two to that power, are gathered).
+RANGE, CELL_BITS = 10_000, 14
 
 
 @cache
@@ -74,13 +79,18 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def place(tokens: list[str]) -> np.ndarray:
-    """A document's point: word counts hashed onto a few directions, squashed to a grid."""
-    if not tokens:
-        return np.zeros(DIMENSIONS, np.int64)
-    h = pd.util.hash_array(np.array(tokens, dtype=object), categorize=False)
-    v = np.array([np.where((h >> np.uint64(7 * k + 3)) & np.uint64(1), 1.0, -1.0).sum() for k in range(DIMENSIONS)])
-    return np.minimum((1 << BITS) - 1, ((np.tanh(v / (1.5 * np.sqrt(len(tokens)))) + 1) / 2 * (1 << BITS))).astype(np.int64)
+def places(texts: list[list[str]]) -> np.ndarray:
+    """Points of documents given as words: word counts hashed onto a few directions, squashed to a grid. All words of a batch at once, each different word hashed once."""
+    n = np.array([len(t) for t in texts])
+    points = np.zeros((len(texts), DIMENSIONS), np.int64)
+    if n.sum():
+        codes, uniques = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+        h = pd.util.hash_array(uniques.astype(object), categorize=False)
+        signs = np.stack([((h >> np.uint64(7 * k + 3)) & np.uint64(1)).astype(np.int64) * 2 - 1 for k in range(DIMENSIONS)], axis=1)[codes]
+        some = np.flatnonzero(n)
+        sums = np.add.reduceat(signs, (np.cumsum(n) - n)[some], axis=0)
+        points[some] = np.minimum((1 << BITS) - 1, (np.tanh(sums / (1.5 * np.sqrt(n[some]))[:, None]) + 1) / 2 * (1 << BITS)).astype(np.int64)
+    return points
 
 
 def _sizes(path: str):
@@ -90,9 +100,10 @@ def _sizes(path: str):
         encode = tokenizer(path)
         for batch in source:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            points = np.array([place(words(t)) for t in texts]).reshape(-1, DIMENSIONS)
-            counts = [len(encode.encode_ordinary(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(hilbert(points, BITS), pa.int64())], schema=schema)
+            for at in range(0, len(texts), 500):
+                some = texts[at : at + 500]
+                counts = [len(t) for t in encode.encode_ordinary_batch(some, num_threads=1)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][at : at + 500], pa.array(counts, pa.int64()), pa.array(hilbert(places([words(t) for t in some]), BITS), pa.int64())], schema=schema)
 
     return batches
 
@@ -143,20 +154,31 @@ OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece"
 
 def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Assignment of every document (doc_id, text), or of its pieces, to containers."""
+    spark = documents.sparkSession
     docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    sizes = cut(docs.mapInArrow(_sizes(vocabulary), "doc_id long, tokens long, key long"))  # the range borders are drawn from a sample of this; it must not be counted twice
+    sizes = cut(docs.mapInArrow(_sizes(vocabulary), "doc_id long, tokens long, key long"))  # counted and packed: read twice, tokenised once
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("container", pa.int64()), ("tokens", pa.int64())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, n) for batch in source for k, n in zip(batch["doc_id"].to_pylist(), batch["tokens"].to_pylist()))
+        rows = (row for batch in source for row in zip(*(batch[c].to_pylist() for c in ("range", "doc_id", "tokens"))))
         out = []
-        for row in pack(rows, capacity, TaskContext.get().partitionId() << 40):
-            out.append(row)
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                out.clear()
+        for place, group in groupby(rows, key=lambda r: r[0]):
+            for row in pack(((k, n) for _, k, n in group), capacity, place << 32):
+                out.append(row)
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out.clear()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sizes.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens").mapInArrow(batches, OUT)
+    cell = F.shiftright("key", DIMENSIONS * BITS - CELL_BITS)
+    cells, start, filled = [], 0, 0
+    for row in sorted(sizes.groupBy(cell.alias("cell")).count().collect()):  # at most 2 ** CELL_BITS rows
+        parts = max(1, -(-row["count"] // RANGE))
+        if filled and (parts > 1 or filled + row["count"] > RANGE):
+            start, filled = start + 1, 0
+        cells.append((row["cell"], start, parts))
+        start, filled = (start + parts, 0) if parts > 1 else (start, filled + row["count"])
+    ranges = spark.createDataFrame(cells, "cell long, first long, parts long")
+    placed = sizes.withColumn("cell", cell).join(F.broadcast(ranges), "cell").select((F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("range"), "key", "doc_id", "tokens")
+    return placed.repartition("range").sortWithinPartitions("range", "key", "doc_id", "tokens").select("range", "doc_id", "tokens").mapInArrow(batches, OUT)
