@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from giurispark.functions import text
 from giurispark.functions.ecli import strip
 
 JUDGES = ("A", "B", "C")
@@ -109,3 +110,11 @@ def completed(criteria: DataFrame, votes: DataFrame, item: list[str], judges: tu
 def adapted(criteria: DataFrame, verdicts: DataFrame, item: list[str], missing: str) -> DataFrame:
     """Criteria with their verdict; one without gets ``missing`` (unresolved for a panel, fail for a single output)."""
     return criteria.join(verdicts.select(*item, "verdict"), item, "left").withColumn("verdict", F.coalesce("verdict", F.lit(missing)))
+
+
+def coerced(reply: Column) -> dict[str, Column]:
+    """A judge's reply as decision, reasoning and status: the first JSON object in it, its verdict without case and blanks; anything but pass or fail is an error vote."""
+    record = text.json_object(reply)
+    verdict = F.lower(strip(F.get_json_object(record, "$.verdict")))
+    valid = F.coalesce(verdict.isin("pass", "fail"), F.lit(False))
+    return {"decision": F.when(valid, verdict), "decision_status": F.when(valid, "ok").otherwise("error"), "decision_reasoning": F.get_json_object(record, "$.reasoning")}

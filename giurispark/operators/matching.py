@@ -62,3 +62,33 @@ def _least(df: DataFrame, group: str, mark: Column, n: int) -> DataFrame:
     part = df.select(F.col(group).alias("_g"), mark.alias("_m")).withColumn("_p", F.spark_partition_id())
     inner = part.withColumn("_n", F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_m"))).where(F.col("_n") <= n)
     return inner.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy("_m"))).where(F.col("_n") <= n).select(F.col("_m.k").alias("_key"))
+
+
+def of_area(tasks: DataFrame, area: str) -> DataFrame:
+    """Tasks whose area, as written, or whose id's first part is the area, whatever the case; no aliases."""
+    want = area.lower()
+    return tasks.where((F.lower(F.coalesce("macro_area", F.lit(""))) == want) | (F.lower(F.substring_index("task_id", "/", 1)) == want))
+
+
+def of_areas(frames: list[DataFrame], areas: list[str], key: str = "macro_area") -> list[DataFrame]:
+    """Several frames narrowed to the same areas; an error where nothing of the first is left."""
+    kept = [f.where(F.col(key).isin(*areas)) for f in frames]
+    if kept[0].isEmpty():
+        raise ValueError(f"no rows for {areas}")
+    return kept
+
+
+def sampled_sorted(df: DataFrame, key: str, n: int, seed: int, strict: bool = False) -> DataFrame:
+    """The sample in the order of its key; 0 means no limit, or, where strict, any n below 1 is an error."""
+    if strict and n <= 0:
+        raise ValueError("the limit must be positive")
+    return (sampled(df, key, n, seed) if n > 0 else df).orderBy(key)
+
+
+def parsed_criteria(reply: Column, most: int = 4) -> Column:
+    """Criteria (id, title, match_criteria) from a generated JSON list: fences off, items with title and rule only, at most so many (the task's limit), numbered from C-001; null where there is no list or none is left."""
+    bare = F.regexp_replace(F.regexp_replace(reply, r"```json\s*", ""), r"```\s*", "")
+    items = F.from_json(bare, "array<struct<title: string, match_criteria: string>>")
+    good = F.filter(F.transform(items, lambda c: F.struct(F.trim(c["title"]).alias("title"), F.trim(c["match_criteria"]).alias("match_criteria"))), lambda c: (F.coalesce(c["title"], F.lit("")) != "") & (F.coalesce(c["match_criteria"], F.lit("")) != ""))
+    numbered = F.transform(F.slice(good, 1, most), lambda c, i: F.struct(F.format_string("C-%03d", i + 1).alias("id"), c["title"].alias("title"), c["match_criteria"].alias("match_criteria")))
+    return F.when(F.size(numbered) > 0, numbered)

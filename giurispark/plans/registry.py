@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from giurispark.plans import corpus, grounding, judging, references, reports, texts
+from giurispark.plans import corpus, grounding, judging, references, reports, scores, texts, validation
 
-MODULES = (references, judging, corpus, reports, grounding, texts)
+MODULES = (references, judging, corpus, reports, grounding, texts, scores, validation)
 
 
 def queries() -> dict:

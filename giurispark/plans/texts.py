@@ -130,9 +130,9 @@ def _plain(spark: SparkSession, base: str) -> DataFrame:
 
 
 def citation_links(spark: SparkSession, base: str) -> DataFrame:
-    """Cassation citations without identifier and the link of the same answer that supplies it."""
+    """Cassation citations without identifier and the link or other mention of the same answer that supplies it."""
     rows = _plain(spark, base)
-    return extraction.linked(rows.where("ecli IS NULL AND ns = 'CASS'"), rows.where("ecli IS NOT NULL AND extraction_method = 'url'"))
+    return extraction.linked(rows.where("ecli IS NULL AND ns = 'CASS'"), rows.where("ecli IS NOT NULL"))
 
 
 def citation_recovered(spark: SparkSession, base: str) -> DataFrame:
@@ -144,7 +144,7 @@ def citation_recovered(spark: SparkSession, base: str) -> DataFrame:
 def redact(spark: SparkSession, base: str) -> DataFrame:
     """Errors on one line without keys."""
     rows = table(spark, base, "judge_votes", "error", "status").where("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))
-    return rows.select("error", "n", text.redacted(F.concat(F.col("error"), F.lit("\n key sk-ant-abc_123 "))).alias("shown"), usage.error_class(F.col("error")).alias("category"))
+    return rows.select("error", "n", text.redacted(F.col("error")).alias("shown"), usage.error_class(F.col("error")).alias("category"))
 
 
 def text_words(spark: SparkSession, base: str) -> DataFrame:
@@ -176,15 +176,16 @@ def tristates(spark: SparkSession, base: str) -> DataFrame:
 
 
 def question_duplicates(spark: SparkSession, base: str) -> DataFrame:
-    """Questions filed more than once, by their key."""
-    return matching.duplicates(table(spark, base, "benchmark_tasks").select(F.md5(text.question_key(F.col("query"))).alias("key")), "key")
+    """Questions and answers filed more than once, by their key."""
+    texts = table(spark, base, "benchmark_tasks").select(F.lit("question").alias("kind"), "query").unionByName(table(spark, base, "task_scores").select(F.lit("answer").alias("kind"), F.col("model_output").alias("query")))
+    return texts.groupBy("kind", F.md5(text.question_key(F.col("query"))).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def question_match(spark: SparkSession, base: str) -> DataFrame:
-    """Tasks of one kind with the tasks of another that ask the same."""
-    tasks = table(spark, base, "benchmark_tasks", "task_id", "task_type", "query")
-    left, right = tasks.where("task_type = 'standard'").withColumnRenamed("task_id", "a"), tasks.where("task_type IS NULL OR task_type <> 'standard'").withColumnRenamed("task_id", "b")
-    return matching.by_key(left, right, text.sheet_key(F.col("query")), "a", "b", "query")
+    """Answers whose text, as a sheet would have it, is a task's question."""
+    tasks = table(spark, base, "benchmark_tasks").select(F.col("task_id").alias("a"), "query")
+    answers = table(spark, base, "task_scores").select(F.col("score_id").alias("b"), F.col("model_output").alias("query"))
+    return matching.by_key(tasks, answers, text.sheet_key(F.col("query")), "a", "b", "query")
 
 
 def missing_extra(spark: SparkSession, base: str) -> DataFrame:
@@ -228,7 +229,7 @@ def criteria_rows(spark: SparkSession, base: str) -> DataFrame:
 
 def first_principles(spark: SparkSession, base: str) -> DataFrame:
     """At most five principles of each ruling, as a prompt shows them; the limit is the prompt's."""
-    return table(spark, base, "provvedimenti", "prov_id", "principles").select("prov_id", F.size(F.slice(F.coalesce("principles", F.array().cast("array<string>")), 1, 5)).alias("shown"), F.coalesce(F.size("principles"), F.lit(0)).alias("all"))
+    return table(spark, base, "provvedimenti", "prov_id", "principles").select("prov_id", F.array_join(F.slice(F.coalesce("principles", F.array().cast("array<string>")), 1, 5), "\n").alias("shown"), F.coalesce(F.size("principles"), F.lit(0)).alias("all"))
 
 
 # ---- model calls -------------------------------------------------------------------------
@@ -247,12 +248,6 @@ def model_calls_by_model(spark: SparkSession, base: str) -> DataFrame:
     return usage.totals(_calls(spark, base), "model", "provider")
 
 
-def usage_tokens(spark: SparkSession, base: str) -> DataFrame:
-    """Counts from usage records, whatever their names."""
-    rows = table(spark, base, "events", "event_type", "props")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(usage.tokens(F.col("props"), (*usage.INPUT, "k"))).alias("tokens"), F.count(usage.tokens(F.col("props"), usage.OUTPUT)).alias("with_output"))
-
-
 def judge_latency(spark: SparkSession, base: str) -> DataFrame:
     calls = table(spark, base, "judge_votes").select("model", "provider", "latency_ms", "attempts", "status")
     return calls.groupBy("model", "provider", "status").agg(F.count("*").alias("calls"), F.sum("attempts").alias("attempts"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"), F.max("latency_ms").alias("max_ms"))
@@ -261,7 +256,7 @@ def judge_latency(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     ecli_normalise, ecli_fields, namespace_infer, number_normalise, code_normalise, ecli_build, authority_codes, extract_identifiers, extract_numbers, extract_references, extract_channels, extract_merged, fast_path, extraction_check,
     citation_merge, citation_keys, citation_links, citation_recovered, redact, text_words, text_area_key, text_ascii_words, percents, tristates, question_duplicates, question_match, missing_extra, answers_last, answer_problems,
-    outputs_joined, sample_tasks, sample_by_area, criteria_rows, first_principles, model_call_summary, model_calls_by_model, usage_tokens, judge_latency,
+    outputs_joined, sample_tasks, sample_by_area, criteria_rows, first_principles, model_call_summary, model_calls_by_model, judge_latency,
 )}
 
 WS = "E' \\t\\n\\r'"
@@ -280,6 +275,15 @@ _CALLS = "(SELECT model, model_call_provider AS provider, model_call_latency_ms
 _first = lambda f, g: f"(array_agg({f} ORDER BY span_start, span_end, citation_id) FILTER ({f} IS NOT NULL))[1] AS {g}"
 
 
+_lit = lambda p: "'" + p.replace("'", "''") + "'"
+
+
+def _masked(column: str) -> str:
+    for pattern in extraction.COVERED:
+        column = f"regexp_replace({column}, {_lit(pattern)}, ' ', 'g')"
+    return column
+
+
 def _area(column: str) -> str:
     from giurispark.plans.corpus import area_sql
 
@@ -297,18 +301,19 @@ ORACLE = {
 CASE upper(namespace) WHEN 'CASS' THEN 'ECLI:IT:CASS:' || year || ':' || number WHEN 'CONT' THEN 'ECLI:IT:CONT:' || year || ':' || number WHEN 'MER' THEN 'ECLI:IT:' || {_code} || ':' || year || ':' || number || '.' WHEN 'ADM' THEN CASE WHEN {_kind} IS NULL THEN 'ECLI:IT:' || {_code} || ':' || year || ':' || number END END AS start FROM registry""",
     "extract_identifiers": "SELECT score_id AS id, upper(e) AS ecli, count(*) AS mentions FROM (SELECT score_id, unnest(regexp_extract_all(model_output, '(?i)\\b(ECLI:IT:[A-Z0-9]+:[0-9]{4}:[A-Z0-9.]*[A-Z0-9])\\b', 1)) AS e FROM task_scores) GROUP BY ALL",
     "extract_numbers": r"SELECT regexp_replace(p, '\s*(/|\s+del\s+)\s*', '/') AS pair, count(*) AS mentions, count(DISTINCT score_id) AS answers FROM (SELECT score_id, unnest(regexp_extract_all(model_output, '(?i)(?:n\.|num\.|numero)\s*([0-9]+\s*(?:/|\s+del\s+)\s*[0-9]{4})', 1)) AS p FROM task_scores) GROUP BY ALL",
+    "fast_path": "SELECT score_id AS id FROM (SELECT score_id, model_output AS t, " + _masked("model_output") + " AS rest FROM task_scores) WHERE (" + " OR ".join(f"regexp_matches(t, {_lit(p)})" for p in extraction.COVERED) + f") AND NOT regexp_matches(rest, {_lit(extraction.LOOSE)})",
     "extraction_check": "SELECT extraction_method, count(*) AS n, count(*) FILTER (contains(model_output, text)) AS verbatim, count(*) FILTER (substring(model_output, span_start + 1, span_end - span_start) = text) AS at_span FROM (SELECT DISTINCT citation_id, score_id, text, span_start, span_end, extraction_method FROM citations) JOIN task_scores USING (score_id) GROUP BY ALL",
     "citation_merge": f"WITH r AS (SELECT * REPLACE ({_CANON.format('ecli')} AS ecli), {_key('ecli', 'number')} AS key FROM citations) SELECT score_id, key, " + ", ".join(_first(f, f) for f in _MERGE) + ", CASE WHEN count(DISTINCT extraction_method) > 1 THEN 'merged' ELSE min(extraction_method) END AS extraction_method, CAST(count(*) AS INT) AS mentions FROM r GROUP BY ALL",
     "citation_keys": f"SELECT DISTINCT ecli, suggested_namespace, number, year, legal_area, text, {_key('ecli', 'number')} AS key FROM citations",
-    "citation_links": f"SELECT p.citation_id, arg_min(u.ecli, {{'s': u.s, 'e': u.ecli}}) AS linked_ecli FROM {_ROWS} p JOIN {_ROWS} u ON p.id = u.id AND p.year = u.year AND p.number = u.number AND (p.area IS NULL OR u.area IS NULL OR p.area = u.area) WHERE p.ecli IS NULL AND p.ns = 'CASS' AND u.ecli IS NOT NULL AND u.m = 'url' GROUP BY 1",
+    "citation_links": f"SELECT p.citation_id, arg_min(u.ecli, {{'s': u.s, 'e': u.ecli}}) AS linked_ecli FROM {_ROWS} p JOIN {_ROWS} u ON p.id = u.id AND p.year = u.year AND p.number = u.number AND (p.area IS NULL OR u.area IS NULL OR p.area = u.area) WHERE p.ecli IS NULL AND p.ns = 'CASS' AND u.ecli IS NOT NULL GROUP BY 1",
     "citation_recovered": f"SELECT l.citation_id, count(DISTINCT {{'s': r.s, 'e': r.e}}) AS spans, CASE WHEN count(DISTINCT {{'s': r.s, 'e': r.e}}) = 1 THEN min(r.s) END AS start, CASE WHEN count(DISTINCT {{'s': r.s, 'e': r.e}}) = 1 THEN min(r.e) END AS \"end\" FROM {_ROWS} l JOIN {_ROWS} r ON l.id = r.id AND l.number = r.number AND l.year = r.year WHERE l.m = 'llm' AND r.m = 'regex' GROUP BY 1",
     "text_words": f"SELECT task_id, length(query) AS chars, CAST(CASE WHEN trim(regexp_replace(query, '{_SPACE}+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(query, '{_SPACE}+', ' ', 'g')), ' ')) END AS INT) AS words, length(query) >= 15 AS long_enough, CASE WHEN trim(regexp_replace(query, '{_SPACE}+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(query, '{_SPACE}+', ' ', 'g')), ' ')) END <= 150 AS short_enough FROM benchmark_tasks",
     "text_area_key": f"SELECT macro_area, count(*) AS n, {_akey} AS key, {_area('macro_area')} AS area FROM (SELECT macro_area FROM benchmark_tasks UNION ALL SELECT macro_area FROM provvedimenti) GROUP BY macro_area",
     "text_ascii_words": f"SELECT DISTINCT title, {_up.format('title')} AS words, lower(regexp_replace(translate(title, '/:', '--'), '[^A-Za-z0-9._-]+', '-', 'g')) AS slug FROM criterion_results",
     "percents": "SELECT model, rate, format('{:.1f}%', rate * 100) AS plain, replace(format('{:.1f}%', rate * 100), '.', ',') AS comma, 'n.d.' AS missing FROM (SELECT model, round(avg(required_pass_rate), 6) AS rate FROM task_scores GROUP BY 1)",
     "tristates": f"SELECT raw, count(*) AS n, CASE WHEN lower(trim(raw, {WS})) IN ('true', '1', 'yes', 'y') THEN true WHEN lower(trim(raw, {WS})) IN ('false', '0', 'no', 'n') THEN false END AS parsed, coalesce(TRY_CAST(raw AS INT), 0) AS number FROM (SELECT CAST(all_pass AS VARCHAR) AS raw FROM task_scores UNION ALL SELECT verdict FROM judge_votes) GROUP BY raw",
-    "question_duplicates": f"SELECT md5({_qkey}) AS key, count(*) AS n FROM benchmark_tasks GROUP BY 1 HAVING count(*) > 1",
-    "question_match": f"WITH t AS (SELECT task_id, task_type, {_skey} AS k FROM benchmark_tasks) SELECT a.task_id AS a, b.task_id AS b FROM t a JOIN t b USING (k) WHERE a.task_type = 'standard' AND b.task_type IS DISTINCT FROM 'standard'",
+    "question_duplicates": f"SELECT kind, md5({_qkey}) AS key, count(*) AS n FROM (SELECT 'question' AS kind, query FROM benchmark_tasks UNION ALL SELECT 'answer', model_output FROM task_scores) GROUP BY ALL HAVING count(*) > 1",
+    "question_match": f"SELECT a.task_id AS a, b.score_id AS b FROM (SELECT task_id, {_skey} AS k FROM benchmark_tasks) a JOIN (SELECT score_id, {_skey.replace('query', 'model_output')} AS k FROM task_scores) b USING (k)",
     "missing_extra": "WITH e AS (SELECT DISTINCT task_id FROM benchmark_tasks WHERE task_type = 'standard'), g AS (SELECT task_id FROM task_scores WHERE model = 'falena-8b') SELECT task_id, 'missing' AS problem FROM e WHERE task_id NOT IN (SELECT task_id FROM g) UNION ALL SELECT DISTINCT task_id, 'extra' FROM g WHERE task_id NOT IN (SELECT task_id FROM e) UNION ALL SELECT task_id, 'duplicate' FROM g GROUP BY task_id HAVING count(*) > 1",
     "answers_last": "SELECT task_id, max(score_id) AS score_id FROM task_scores GROUP BY 1",
     "answer_problems": f"WITH j AS (SELECT score_id, coalesce(regexp_replace(query, '{_SPACE}', '', 'g'), '') = '' AS q, coalesce(regexp_replace(model_output, '{_SPACE}', '', 'g'), '') = '' AS a FROM task_scores LEFT JOIN benchmark_tasks USING (task_id)) SELECT score_id, CASE WHEN q AND a THEN 'blank' WHEN q THEN 'no question' ELSE 'no answer' END AS problem FROM j WHERE q OR a",
@@ -316,9 +321,8 @@ CASE upper(namespace) WHEN 'CASS' THEN 'ECLI:IT:CASS:' || year || ':' || number
     "sample_tasks": "SELECT task_id FROM benchmark_tasks ORDER BY md5('42/' || task_id), task_id LIMIT 20",
     "sample_by_area": f"SELECT task_id, area FROM (SELECT task_id, {_area('macro_area')} AS area FROM benchmark_tasks) QUALIFY row_number() OVER (PARTITION BY area ORDER BY md5('7/' || task_id), task_id) <= 3",
     "criteria_rows": "SELECT task_id, CAST(i - 1 AS INT) AS place, criteria[i].id AS id, criteria[i].title AS title, CAST(len(criteria[i].deliverables) AS INT) AS deliverables, coalesce(criteria[i].scoring_type, 'required') AS scoring_type, coalesce(criteria[i].category, 'legal') AS category FROM (SELECT task_id, criteria, unnest(range(1, len(criteria) + 1)) AS i FROM benchmark_tasks)",
-    "first_principles": "SELECT prov_id, CAST(least(5, coalesce(len(principles), 0)) AS INT) AS shown, CAST(coalesce(len(principles), 0) AS INT) AS \"all\" FROM provvedimenti",
+    "first_principles": "SELECT prov_id, coalesce(array_to_string(principles[1:5], chr(10)), '') AS shown, CAST(coalesce(len(principles), 0) AS INT) AS \"all\" FROM provvedimenti",
     "model_call_summary": f"SELECT {_TOTALS} FROM {_CALLS}",
     "model_calls_by_model": f"SELECT model, provider, {_TOTALS} FROM {_CALLS} GROUP BY model, provider",
-    "usage_tokens": "SELECT event_type, count(*) AS n, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS with_output FROM events GROUP BY 1",
     "judge_latency": "SELECT model, provider, status, count(*) AS calls, CAST(sum(attempts) AS BIGINT) AS attempts, round(avg(latency_ms), 4) AS mean_ms, max(latency_ms) AS max_ms FROM judge_votes GROUP BY ALL",
 }
