@@ -75,9 +75,11 @@ def consistent(text: str) -> str:
     if text.isascii():
         return text
     text = unicodedata.normalize("NFC", text)
-    if not _special().isdisjoint(text):
+    used = set(text)  # few different characters: tables are asked for these alone
+    if not _special().isdisjoint(used):
         text = unicodedata.normalize("NFC", text.translate(_plain_table()))
-    if _ALIKE.isdisjoint(text):
+        used = set(text)
+    if _ALIKE.isdisjoint(used):
         return text
 
     def latin(match: re.Match) -> str:
@@ -104,13 +106,26 @@ def _accents() -> dict[int, str]:
 
 def bare(text: str) -> str:
     """Consistent form without case and accents."""
-    text = consistent(text).casefold()
-    return text if text.isascii() else text.translate(_accents())
+    if text.isascii():
+        return text.lower()
+    text, table = consistent(text).casefold(), _accents()
+    for c in set(text):
+        if c > "\x7f" and (plain := table.get(ord(c))) is not None:
+            text = text.replace(c, plain)
+    return text
 
 
 _WORD = re.compile(r"[^\W_]+")
+_BLANK = {p: " " for p in range(128) if not chr(p).isalnum()}
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits of the bare form."""
-    return _WORD.findall(bare(text))
+    text = bare(text)
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not c.isalnum():
+                text = text.replace(c, " ")
+        if not text.isascii():
+            return _WORD.findall(text)
+    return text.translate(_BLANK).split()

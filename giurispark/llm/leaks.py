@@ -3,8 +3,8 @@
 The held-out items are the stated query set: every window of ``width`` words of every
 item. Each document slides the same window, all windows of a batch at once.
 
-Equal windows: a window's 64-bit SimHash of its weighted word pairs is found from running
-sums. Fingerprints are cut into radius + 1 blocks: two that differ in at most ``radius``
+Equal windows: windows with a word pair that no item has are passed over by running sums;
+the others get a 64-bit SimHash of their weighted word pairs. Fingerprints are cut into radius + 1 blocks: two that differ in at most ``radius``
 bits agree in one block at least, so equal block values give every fingerprint within the
 radius, equal ones among them.
 
@@ -29,7 +29,7 @@ words has no window and is never found; repeated documents are reported one by o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -74,15 +74,24 @@ def fingerprints(h: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(sums[n:] - sums[:-n] > 0, axis=1).view(np.uint64).ravel()
 
 
+def fingerprints_at(pair: np.ndarray, weight: np.ndarray, window: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of the windows of n word pairs that begin at the given places."""
+    at = window[:, None] + np.arange(n)
+    bits = np.unpackbits(pair[at].view(np.uint8).reshape(len(window), n, 8), axis=2).astype(np.int16)
+    w = (weight[:-1] + weight[1:]).astype(np.int16)[at]
+    return np.packbits(((bits * 2 - 1) * w[:, :, None]).sum(axis=1, dtype=np.int32) > 0, axis=1).view(np.uint64).ravel()
+
+
 @dataclass
 class Queries:
-    """Windows of the held-out items, by fingerprint block."""
+    """Windows of the held-out items, by fingerprint block; pairs are the hashes of all their word pairs."""
 
     item: np.ndarray
     print: np.ndarray
     words: list[tuple[str, ...]]
     width: int
     radius: int
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def __post_init__(self) -> None:
         self.edges = np.linspace(0, 64, self.radius + 2).astype(int)
@@ -92,6 +101,21 @@ class Queries:
             order = np.argsort(value, kind="stable")
             self.blocks.append((order, value[order]))
 
+        self.known = np.unique(self.pairs)
+
+    def candidates(self, h: np.ndarray, weight: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, query) pairs whose fingerprints lie within the radius, of windows marked inside that have no word pair foreign to all items (an equal window has none)."""
+        pair = pair_hashes(h)
+        at = np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)
+        n = self.width - 1
+        run = np.cumsum(np.concatenate([[0], self.known[at] == pair]))
+        window = np.flatnonzero(inside & (run[n:] - run[:-n] == n))
+        if not len(window):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        prints = np.concatenate([fingerprints_at(pair, weight, some, n) for some in np.array_split(window, len(window) // 5_000 + 1)])
+        w, query = self.within(prints)
+        return window[w], query
+
     def block(self, prints: np.ndarray, b: int) -> np.ndarray:
         lo, hi = int(self.edges[b]), int(self.edges[b + 1])
         return (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
@@ -201,13 +225,14 @@ def queries_of(items: list[tuple[int, str | None]], width: int, radius: int, sim
             sets.append(pair_sets(pair_hashes(h), w, width - 1))
         else:
             prints.append(fingerprints(h, w, width))
+            sets.append(pair_hashes(h))
         item += [key] * (len(tokens) - width + 1)
         texts += [tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)]
     if not item:
         return None
     if near:
         return Overlaps(np.array(item, dtype=np.int64), *(np.concatenate(x) for x in zip(*sets)), texts, width, similar)
-    return Queries(np.array(item, dtype=np.int64), np.concatenate(prints), texts, width, radius)
+    return Queries(np.array(item, dtype=np.int64), np.concatenate(prints), texts, width, radius, np.concatenate(sets))
 
 
 def scan(docs: list[tuple[int, list[str]]], q: Queries | Overlaps, similar: float) -> list[tuple]:
@@ -224,11 +249,7 @@ def scan(docs: list[tuple[int, list[str]]], q: Queries | Overlaps, similar: floa
     for at in range(0, len(tokens) - q.width + 1, CHUNK):
         stop = min(len(tokens), at + CHUNK + q.width - 1)
         inside = owner[at : stop - q.width + 1] == owner[at + q.width - 1 : stop]
-        if isinstance(q, Overlaps):
-            window, query = q.candidates(h[at:stop], weight[at:stop], inside)
-        else:
-            window, query = q.within(fingerprints(h[at:stop], weight[at:stop], q.width))
-            window, query = window[inside[window]], query[inside[window]]
+        window, query = q.candidates(h[at:stop], weight[at:stop], inside)
         for i, j in zip((window + at).tolist(), query.tolist()):
             own = tuple(tokens[i : i + q.width])
             equal = own == q.words[j]

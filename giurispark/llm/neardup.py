@@ -53,37 +53,61 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(tokens: list[str], width: int = 3) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word sequences."""
-    if len(tokens) < width:
-        return np.zeros(0, np.uint64)
-    h = pd.util.hash_array(np.array(tokens, dtype=object), categorize=False)
-    out = np.zeros(len(h) - width + 1, np.uint64)
+def all_shingles(texts: list[list[str]], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash): the sorted distinct 64-bit hashes of the word sequences of every text, by text; all texts of a batch at once."""
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    codes, uniques = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+    h = pd.util.hash_array(uniques.astype(object), categorize=False)[codes] if len(codes) else np.zeros(0, np.uint64)
+    m = max(0, len(h) - width + 1)
+    out = np.zeros(m, np.uint64)
     for k in range(width):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m])
+    owner = np.repeat(np.arange(len(texts)), n)
+    inside = owner[:m] == owner[len(h) - m :]  # a sequence lies within one text
+    owner, out = owner[:m][inside], out[inside]
+    order = np.lexsort((out, owner))
+    owner, out = owner[order], out[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (out[1:] != out[:-1])
+    return owner[new], out[new]
+
+
+def shingles(tokens: list[str], width: int = 3) -> np.ndarray:
+    """Those of one text."""
+    return all_shingles([tokens], width)[1]
 
 
 def fingerprint(s: np.ndarray) -> np.ndarray:
-    """Minhash symbols of 32 bits."""
-    best = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):  # bounds the matrix for very long texts
-        best = np.minimum(best, (s[None, at : at + 4096] * _A[:, None] + _B[:, None]).min(axis=1))
+    """Symbols of one set."""
+    return fingerprints(s, np.zeros(1, np.int64))[0]
+
+
+def fingerprints(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Minhash symbols of 32 bits, a row for each set; a set begins at each of starts."""
+    best = np.empty((len(starts), len(_A)), np.uint64)
+    ends = np.append(starts[1:], len(s))
+    lo = 0
+    while lo < len(starts):  # bounds the matrix; a very long text is a group of its own, taken function by function
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 50_000, "right")))
+        part, at = s[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo]
+        for f in range(len(_A)):
+            best[lo:hi, f] = np.minimum.reduceat(part * _A[f] + _B[f], at)
+        lo = hi
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
 def keys(symbols: np.ndarray) -> np.ndarray:
-    """Keys (segment by left-out symbol) of the radius-one balls."""
-    seg = symbols.reshape(SEGMENTS, SYMBOLS).astype(np.uint64)
-    out = np.empty((SEGMENTS, SYMBOLS), np.uint64)
+    """Keys (segment by left-out symbol) of the radius-one balls, a row for each fingerprint; low bits name the segment."""
+    seg = symbols.reshape(len(symbols), SEGMENTS, SYMBOLS).astype(np.uint64)
+    out = np.empty(seg.shape, np.uint64)
     own = np.arange(SEGMENTS, dtype=np.uint64)
     for gap in range(SYMBOLS):
-        h = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(SYMBOLS) + np.uint64(gap + 1)
+        h = np.broadcast_to(own * np.uint64(SYMBOLS) + np.uint64(gap + 1), seg.shape[:2])
         for k in range(SYMBOLS):
             if k != gap:
-                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + seg[:, k])
-        out[:, gap] = h & ~np.uint64(_SEGMENT_BITS) | own
-    return out.ravel()
+                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + seg[:, :, k])
+        out[:, :, gap] = h & ~np.uint64(_SEGMENT_BITS) | own
+    return out.reshape(len(symbols), -1)
 
 
 SCHEMA = T.StructType([
@@ -98,17 +122,20 @@ def _features(width: int):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for at in range(0, batch.num_rows, 500):
-                rows = []
-                for key, text in zip(batch["id"][at : at + 500].to_pylist(), batch["text"][at : at + 500].to_pylist()):
-                    s = shingles(words(text or ""), width)
-                    if not len(s):
-                        continue
-                    symbols = fingerprint(s)
-                    # two independent digests name the set
-                    one, two = np.bitwise_xor.reduce(_mix(s + np.uint64(len(s)))), np.add.reduce(_mix(s ^ np.uint64(0xD6E8FEB86659FD93)))
-                    rows.append((key, one.astype(np.int64), two.astype(np.int64), s.view(np.int64), symbols.view(np.int32), keys(symbols).view(np.int64)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                owner, s = all_shingles([words(t or "") for t in batch["text"][at : at + 500].to_pylist()], width)
+                if not len(s):
+                    continue
+                rows, starts, sizes = np.unique(owner, return_index=True, return_counts=True)
+                symbols = fingerprints(s, starts)
+                # two independent digests name the set
+                one = np.bitwise_xor.reduceat(_mix(s + np.repeat(sizes, sizes).astype(np.uint64)), starts)
+                two = np.add.reduceat(_mix(s ^ np.uint64(0xD6E8FEB86659FD93)), starts)
+                lists = lambda flat, kind, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, kind))
+                even = lambda n: np.arange(len(rows) + 1) * n
+                yield pa.RecordBatch.from_arrays([
+                    batch["id"][at : at + 500].take(pa.array(rows)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists(s.view(np.int64), pa.int64(), np.append(starts, len(s))),
+                    lists(symbols.view(np.int32).ravel(), pa.int32(), even(symbols.shape[1])), lists(keys(symbols).view(np.int64).ravel(), pa.int64(), even(symbols.shape[1])),
+                ], schema=schema)
 
     return batches
 

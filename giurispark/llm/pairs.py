@@ -26,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -259,27 +260,38 @@ def tiles(answer: str, question: str, least: int = TILE) -> list[tuple[int, int]
     return sorted(out)
 
 
-def leftover(answer: list[str], question: list[str]) -> list[str]:
-    """Words of the answer that no tile covers, in order."""
-    text = "".join(answer)
-    marks = bytearray(len(text))
-    for a, b in tiles(text, "".join(question)):
-        marks[a:b] = b"\x01" * (b - a)
-    out, at = [], 0
-    for w in answer:
-        if sum(marks[at : at + len(w)]) * 2 < len(w):
-            out.append(w)
-        at += len(w)
+def grams(text: str, least: int = TILE) -> np.ndarray:
+    """Rolling hashes of all stretches of so many letters."""
+    a = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    m = len(a) - least + 1
+    out = np.zeros(max(0, m), np.uint64)
+    for k in range(least if m > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + a[k : k + m]
     return out
 
 
+def covered(text: str, known: np.ndarray, least: int = TILE) -> np.ndarray:
+    """Marks of the letters that greedy tiles of a text cover; known: grams of the other text. As that may serve again and again, the tiles cover what its grams cover."""
+    hit = np.flatnonzero(np.isin(grams(text, least), known))
+    edges = np.bincount(hit, minlength=len(text) + 1) - np.bincount(hit + least, minlength=len(text) + 1)
+    return np.cumsum(edges[: len(text)]) > 0
+
+
+def leftover(answer: list[str], known: np.ndarray) -> list[str]:
+    """Words of the answer that tiles cover by less than half, in order."""
+    run = np.concatenate([[0], np.cumsum(covered("".join(answer), known))])
+    ends = np.cumsum([len(w) for w in answer])
+    starts = np.concatenate([[0], ends[:-1]])
+    return [answer[i] for i in np.flatnonzero((run[ends] - run[starts]) * 2 < ends - starts)]
+
+
 def is_copy(answer: list[str], question: list[str]) -> bool:
     if not question or len(answer) * 2 < len(question):
         return False
     known = set(question)
     if sum(w in known for w in answer) < 0.5 * len(answer):
         return False
-    rest = leftover(answer, question)
+    rest = leftover(answer, grams("".join(question)))
     substance = [w for w in rest if w not in FRAME]
     return len(rest) <= 0.25 * len(answer) + 4 and len(substance) <= max(1, 0.03 * len(answer))
 
@@ -328,14 +340,17 @@ def model(labelled: list[tuple[str, list[str]]] = ()) -> np.ndarray:
 PLAIN_MODEL = model()
 
 
+_FAR = re.compile("[^\x00-\u024f]")
+
+
 def script(text: str) -> str:
     """The script most letters belong to."""
     if text.isascii():
         return "LATIN"
-    far = [c for c in text if c > "ɏ" and c.isalpha()]
-    if 2 * len(far) < sum(c.isalpha() for c in text):
+    far = [c for c in _FAR.findall(text) if c.isalpha()]
+    if not far or 2 * len(far) < sum(map(str.isalpha, text)):
         return "LATIN"
-    return Counter(unicodedata.name(c, "?").split()[0] for c in far).most_common(1)[0][0] if far else ""
+    return Counter(unicodedata.name(c, "?").split()[0] for c in far).most_common(1)[0][0]
 
 
 def language(tokens: list[str]) -> tuple[str, float]:
@@ -366,26 +381,37 @@ def taught(texts: DataFrame) -> np.ndarray:
     return model(labelled)
 
 
-def _restated(joined: str, asked: str) -> bool:
-    """Whether a stretch of 23 letters or more of the question stands in the answer."""
-    return any(asked[i : i + TILE] in joined for i in range(0, len(asked) - TILE + 1, TILE))
+@dataclass
+class Asked:
+    """A question as its answers need it."""
+
+    words: list[str]
+    script: str
+    grams: np.ndarray
+    trigrams: np.ndarray
+
+
+@lru_cache(maxsize=4096)
+def asked(text: str) -> Asked:
+    own = words(text)
+    return Asked(own, script(text), np.unique(grams("".join(own))), trigrams(own))
 
 
-def other_language(text: str, answer: list[str], question_text: str, question: list[str], known: np.ndarray) -> bool:
-    """The answer proper, without a restated question, is in another language or script than the question."""
-    if len(question) < 4:
+def other_language(answer: list[str], question: Asked, known: np.ndarray) -> bool:
+    """The answer proper, without what it restates of the question, is in another language or script than the question."""
+    if len(question.words) < 4 or len(answer) < 6:
         return False
-    rest = leftover(answer, question) if _restated("".join(answer), "".join(question)) else answer
+    rest = leftover(answer, question.grams)
     if len(rest) < 6:
         return False
-    if (a := script(" ".join(rest))) and (b := script(question_text)) and a != b:
+    if (a := script(" ".join(rest))) and question.script and a != question.script:
         return True
     if a != "LATIN":
         return False
-    ours, theirs = known[:, trigrams(rest)].sum(axis=1), known[:, trigrams(question)].sum(axis=1)
-    asked = int(theirs.argmax())
+    ours, theirs = known[:, trigrams(rest)].sum(axis=1), known[:, question.trigrams].sum(axis=1)
+    own = int(theirs.argmax())
     second = np.partition(theirs, -2)[-2]
-    return bool(ours.argmax() != asked and ours.max() - ours[asked] >= EVIDENCE and theirs[asked] - second >= EVIDENCE / 2)
+    return bool(ours.argmax() != own and ours.max() - ours[own] >= EVIDENCE and theirs[own] - second >= EVIDENCE / 2)
 
 
 def judge(text: str | None, question_text: str | None, known: np.ndarray = PLAIN_MODEL) -> str | None:
@@ -395,13 +421,13 @@ def judge(text: str | None, question_text: str | None, known: np.ndarray = PLAIN
         return "empty"
     if is_refusal(text, len(answer)):
         return "refusal"
-    question = words(question_text or "")
-    if is_copy(answer, question):
+    question = asked(question_text or "")
+    if is_copy(answer, question.words):
         return "copied"
     parsed = parse(text)
     if parsed.stack or parsed.dangling:
         return "open"
-    return "other_language" if other_language(text, answer, question_text or "", question, known) else None
+    return "other_language" if other_language(answer, question, known) else None
 
 
 OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("grp", T.StringType()), T.StructField("defect", T.StringType())])
