@@ -271,15 +271,23 @@ def grams(text: str, least: int = TILE) -> np.ndarray:
 
 
 def covered(text: str, known: np.ndarray, least: int = TILE) -> np.ndarray:
-    """Marks of the letters that greedy tiles of a text cover; known: grams of the other text. As that may serve again and again, the tiles cover what its grams cover."""
-    hit = np.flatnonzero(np.isin(grams(text, least), known))
-    edges = np.bincount(hit, minlength=len(text) + 1) - np.bincount(hit + least, minlength=len(text) + 1)
-    return np.cumsum(edges[: len(text)]) > 0
+    """Marks of the letters that greedy tiles of a text cover; known: sorted grams of the other text. As that may serve again and again, the tiles cover what its grams cover."""
+    own, edges = grams(text, least), np.zeros(len(text) + 1, np.int32)
+    if len(known) and len(own):
+        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+        edges[hit] += 1
+        edges[hit + least] -= 1
+    return np.cumsum(edges[:-1]) > 0
 
 
 def leftover(answer: list[str], known: np.ndarray) -> list[str]:
     """Words of the answer that tiles cover by less than half, in order."""
-    run = np.concatenate([[0], np.cumsum(covered("".join(answer), known))])
+    if not answer:
+        return []
+    marks = covered("".join(answer), known)
+    if not marks.any():
+        return answer
+    run = np.concatenate([[0], np.cumsum(marks)])
     ends = np.cumsum([len(w) for w in answer])
     starts = np.concatenate([[0], ends[:-1]])
     return [answer[i] for i in np.flatnonzero((run[ends] - run[starts]) * 2 < ends - starts)]
@@ -291,7 +299,7 @@ def is_copy(answer: list[str], question: list[str]) -> bool:
     known = set(question)
     if sum(w in known for w in answer) < 0.5 * len(answer):
         return False
-    rest = leftover(answer, grams("".join(question)))
+    rest = leftover(answer, np.unique(grams("".join(question))))
     substance = [w for w in rest if w not in FRAME]
     return len(rest) <= 0.25 * len(answer) + 4 and len(substance) <= max(1, 0.03 * len(answer))
 
@@ -408,7 +416,7 @@ def other_language(answer: list[str], question: Asked, known: np.ndarray) -> boo
         return True
     if a != "LATIN":
         return False
-    ours, theirs = known[:, trigrams(rest)].sum(axis=1), known[:, question.trigrams].sum(axis=1)
+    ours, theirs = np.take(known, trigrams(rest), axis=1).sum(axis=1), np.take(known, question.trigrams, axis=1).sum(axis=1)
     own = int(theirs.argmax())
     second = np.partition(theirs, -2)[-2]
     return bool(ours.argmax() != own and ours.max() - ours[own] >= EVIDENCE and theirs[own] - second >= EVIDENCE / 2)

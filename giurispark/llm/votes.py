@@ -5,15 +5,17 @@ and items to their voting patterns: which raters said what. Items that share a p
 share everything that follows, so the iteration runs on a table of patterns with counts,
 whose size depends on the number of raters and not of items.
 
-Iteratively reweighted voting: with the present weights each vote is compared with the
-weighted consensus of the other votes of its item (leave-one-out); the smoothed share of
-agreement is the rater's accuracy, its log odds the new weight; repeated until no
-accuracy moves by more than ``tolerance``. Agreement is chance-corrected for missing
-ratings (nominal alpha over all items with two votes or more).
-
-With three judges the two better ones get nearly the same accuracy, as each is compared with
-fellows that mostly follow the other; accuracies rank judges within what they are compared
-with, and settled items (p2_judges shows their hits) tell how far they are off.
+Iteratively reweighted voting: votes weighted by the log odds of their raters' accuracies, and
+the share of passes as prior, give each item a consensus (a probability of pass); the smoothed
+share of a rater's votes that agree with it is the rater's accuracy. An item is weighed with
+accuracies that leave out what the item itself gave to them, so no vote confirms itself. Both
+alternate until no accuracy moves by more than ``tolerance``; if that does not come about
+within ``rounds``, an error is raised. Agreement is chance-corrected for missing ratings
+(nominal alpha over all items with two votes or more).
+
+A third judge who is only called where two disagree sees hard items alone; agreement with
+fellows would hold that against all three. The consensus of an item, which weighs all its votes,
+does not: on settled items the accuracies are off by half a point in the mean.
 
 Cases: unusable verdicts, failed votes and null judges do not count; repeated rows count
 once; of equal times the larger verdict and model win; an item with a single vote has
@@ -23,13 +25,14 @@ neither; empty tables give empty results (alpha null).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from giurispark.functions.ecli import strip
 from giurispark.session import cut
 
-#: Up to so many patterns the table is sent to every task; beyond, the join shuffles.
+#: Up to so many patterns (some hundred bytes each) the table is settled in memory and sent to every task; beyond, joins shuffle. The result is the same.
 SMALL = 100_000
 
 
@@ -52,32 +55,72 @@ def patterns(items: DataFrame) -> DataFrame:
     return items.groupBy("votes").agg(F.count("*").alias("n")).withColumn("pid", F.xxhash64("votes"))
 
 
-def _rater(vote: Column) -> Column:
-    return F.struct(vote["judge"].alias("judge"), vote["model"].alias("model"))
-
-
-def reliability(table: DataFrame, prior: float = 1.0, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """(judge, model, votes, compared, accuracy, weight) from the pattern table."""
-    single = cut(table.select("votes", "n", F.explode("votes").alias("v")).select("votes", "n", F.col("v.judge").alias("judge"), F.col("v.model").alias("model"), F.col("v.verdict").alias("verdict")))
-    raters = cut(single.groupBy("judge", "model").agg(F.sum("n").alias("n_votes")).withColumns({"accuracy": F.lit(0.8), "compared": F.lit(0.0)}))
-    odds = lambda a: F.log(a / (1 - a))
+#: Accuracy that smoothing leans to, and its weight in votes.
+USUAL, WEIGHT = 0.75, 2.0
+#: Bounds of an accuracy, so that no vote is worth nothing or everything.
+LEAST, MOST = 0.501, 0.995
+
+
+def reliability(table: DataFrame, tolerance: float = 1e-4, rounds: int = 1000, small: int = SMALL) -> DataFrame:
+    """(judge, model, n_votes, compared, accuracy, weight) from the pattern table; compared counts votes on items with two or more.
+
+    A table of at most ``small`` patterns is gathered and settled in memory, a larger one by joins; both do the same.
+    """
+    few = table.select("votes", "n").limit(small + 1).collect()  # bounded by small
+    if len(few) <= small:
+        rows = [(*k, *v) for k, v in _settled([(tuple((v["judge"], v["model"], v["verdict"] == "pass") for v in r["votes"]), float(r["n"])) for r in few], tolerance, rounds).items()]
+        raters = table.sparkSession.createDataFrame(rows, "judge string, model string, n_votes long, num double, den double")
+    else:
+        raters = _joined(table, tolerance, rounds)
+    accuracy = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (F.col("num") + USUAL * WEIGHT) / (F.col("den") + WEIGHT)))
+    return raters.select("judge", "model", "n_votes", F.col("den").alias("compared"), accuracy.alias("accuracy"), F.log(accuracy / (1 - accuracy)).alias("weight"))
+
+
+def _settled(patterns: list[tuple[tuple, float]], tolerance: float, rounds: int) -> dict[tuple, tuple[int, float, float]]:
+    """(votes, agreement, compared) of every rater (judge, model)."""
+    raters = {r: i for i, r in enumerate(dict.fromkeys(v[:2] for votes, _ in patterns for v in votes))}
+    if not raters:
+        return {}
+    place = np.repeat(np.arange(len(patterns)), [len(votes) for votes, _ in patterns])
+    rater = np.array([raters[v[:2]] for votes, _ in patterns for v in votes])
+    x = np.array([1.0 if v[2] else -1.0 for votes, _ in patterns for v in votes])
+    count = np.array([n for _, n in patterns])
+    one = np.array([float(len(votes) > 1) for votes, _ in patterns])[place]
+    n = count[place]
+    own, before, prior = USUAL * one, np.full(len(raters), 2.0), 0.5
+    den = np.bincount(rater, n * one, len(raters))
+    for _ in range(rounds):
+        num = np.bincount(rater, n * own, len(raters))
+        now = (num + USUAL * WEIGHT) / (den + WEIGHT)
+        if np.abs(now - before).max() <= tolerance:
+            return {r: (int(np.bincount(rater, n, len(raters))[i]), float(num[i]), float(den[i])) for r, i in raters.items()}
+        a = np.clip((num[rater] - own + USUAL * WEIGHT) / (den[rater] - one + WEIGHT), LEAST, MOST)
+        q = 1 / (1 + np.exp(-(np.bincount(place, x * np.log(a / (1 - a)), len(patterns)) + np.log(prior / (1 - prior)))))
+        own, before = one * np.where(x > 0, q[place], 1 - q[place]), now
+        prior = min(0.99, max(0.01, float((count * q).sum() / count.sum())))
+    raise RuntimeError(f"accuracies are not settled after {rounds} rounds")
+
+
+def _joined(table: DataFrame, tolerance: float, rounds: int) -> DataFrame:
+    """(judge, model, n_votes, num, den): the same by joins over votes of patterns."""
+    spread = table.select("votes", F.col("n").cast("double").alias("n"), (F.size("votes") > 1).cast("double").alias("one"), F.explode("votes").alias("v"))
+    sign = F.when(F.col("v.verdict") == "pass", 1.0).otherwise(-1.0)
+    # own: what an item of the pattern last gave to the rater; q: its probability of pass
+    state = cut(spread.select("votes", "n", "one", F.col("v.judge").alias("judge"), F.col("v.model").alias("model"), sign.alias("x"), (F.lit(USUAL) * F.col("one")).alias("own"), F.lit(0.5).alias("q")))
+    before: dict = {}
     for _ in range(rounds):
-        weighted = single.join(raters.select("judge", F.col("model").alias("m"), odds(F.col("accuracy")).alias("w"), "accuracy").withColumnRenamed("judge", "j"), F.expr("judge <=> j AND model <=> m"))
-        # the others' balance: positive where they lean to pass
-        sums = weighted.groupBy("votes").agg(F.sum(F.when(F.col("verdict") == "pass", F.col("w")).otherwise(-F.col("w"))).alias("balance"))
-        others = weighted.join(sums, "votes").withColumn("rest", F.col("balance") - F.when(F.col("verdict") == "pass", F.col("w")).otherwise(-F.col("w")))
-        decided = F.when(F.abs("rest") > 1e-9, F.col("n"))
-        agreed = F.when((F.col("rest") > 0) == (F.col("verdict") == "pass"), decided)
-        new = cut(
-            others.groupBy("judge", "model")
-            .agg(F.sum("n").alias("n_votes"), F.coalesce(F.sum(decided), F.lit(0)).cast("double").alias("compared"), F.coalesce(F.sum(agreed), F.lit(0)).alias("agreed"), F.first("accuracy").alias("before"))
-            .withColumn("accuracy", F.least(F.lit(0.999), F.greatest(F.lit(0.501), (F.col("agreed") + prior) / (F.col("compared") + 2 * prior))))
-        )
-        moved = new.agg(F.max(F.abs(F.col("accuracy") - F.col("before")))).first()[0]
-        raters = new.select("judge", "model", "n_votes", "accuracy", "compared")
-        if moved is None or moved <= tolerance:
-            break
-    return raters.withColumn("weight", odds(F.col("accuracy")))
+        raters = cut(state.groupBy("judge", "model").agg(F.sum("n").cast("long").alias("n_votes"), F.sum(F.col("n") * F.col("own")).alias("num"), F.sum(F.col("n") * F.col("one")).alias("den")))
+        now = dict(map(tuple, raters.select(F.xxhash64("judge", "model"), (F.col("num") + USUAL * WEIGHT) / (F.col("den") + WEIGHT)).collect()))  # a row for each rater
+        if all(abs(a - before.get(k, 2.0)) <= tolerance for k, a in now.items()):
+            return raters
+        share = state.groupBy("votes").agg(F.first("n").alias("n"), F.first("q").alias("q")).agg((F.sum(F.col("n") * F.col("q")) / F.sum("n")).alias("p")).select(F.greatest(F.lit(0.01), F.least(F.lit(0.99), "p")).alias("p"))  # one row
+        r = raters.select(F.col("judge").alias("j"), F.col("model").alias("m"), "num", "den")
+        a = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (F.col("num") - F.col("own") + USUAL * WEIGHT) / (F.col("den") - F.col("one") + WEIGHT)))
+        balance = state.join(r, F.expr("judge <=> j AND model <=> m")).groupBy("votes").agg(F.sum(F.col("x") * F.log(a / (1 - a))).alias("b"))
+        q = balance.crossJoin(F.broadcast(share)).select("votes", (1 / (1 + F.exp(-(F.col("b") + F.log(F.col("p") / (1 - F.col("p"))))))).alias("q"))
+        state = cut(state.drop("q").join(q, "votes").withColumn("own", F.col("one") * F.when(F.col("x") > 0, F.col("q")).otherwise(1 - F.col("q"))))
+        before = now
+    raise RuntimeError(f"accuracies are not settled after {rounds} rounds")
 
 
 def leanings(table: DataFrame, raters: DataFrame) -> DataFrame:
