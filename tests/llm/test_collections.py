@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from giurispark.llm import leaks, neardup, packing, queries, votes
+from giurispark.llm import leaks, neardup, packing, pairs, queries, votes
 from giurispark.llm.forms import words
 
 T0 = dt.datetime(2024, 1, 1)
@@ -215,3 +215,48 @@ def test_blocks_find_every_fingerprint_within_the_radius():
     window, query = q.within(near)
     want = {(i, j) for i in range(300) for j in np.flatnonzero(np.bitwise_count(near[i] ^ prints) <= 3)}
     assert set(zip(window.tolist(), query.tolist())) == want
+
+
+def test_reliability_by_joins_equals_reliability_in_memory(spark):
+    rnd, rows = random.Random(3), []
+    for i in range(60):
+        truth = rnd.random() < 0.6
+        votes_ = {j: truth if rnd.random() < a else not truth for j, a in (("A", 0.9), ("B", 0.8))}
+        if votes_["A"] != votes_["B"]:  # the third is only asked where two disagree
+            votes_["C"] = truth if rnd.random() < 0.85 else not truth
+        rows += [(i, j, "m", "pass" if v else "fail", "ok", T0) for j, v in votes_.items()]
+    rows.append((99, "A", None, "pass", "ok", T0))
+    table = votes.patterns(votes.by_item(votes.counting(spark.createDataFrame(rows, VOTES), ["item"]), ["item"]))
+    a, b = ({(r.judge, r.model): (r.n_votes, round(r.compared, 6), round(r.accuracy, 6)) for r in votes.reliability(table, tolerance=0.02, small=n).collect()} for n in (1000, 0))
+    assert a == b and a[("A", None)] == (1, 0.0, 0.75)
+    with pytest.raises(RuntimeError):
+        votes.reliability(table, tolerance=0.0, rounds=2)
+
+
+def test_containers_do_not_depend_on_partitions(spark):
+    rows = [(i, f"testo numero {i} " * (1 + i * 37 % 90)) for i in range(300)] + [(1000, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({tuple(r) for r in packing.packed(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one == two and {r[0] for r in one} == {r[0] for r in rows}
+
+
+def test_tiles_by_grams_cover_what_greedy_tiles_cover():
+    rnd = random.Random(5)
+    for _ in range(200):
+        q = "".join(rnd.choice("abc") for _ in range(60))
+        a = "".join(q[i : i + rnd.randint(3, 30)] if rnd.random() < 0.6 else rnd.choice("xyz") for i in (rnd.randrange(40) for _ in range(12)))
+        marks = pairs.covered(a, np.unique(pairs.grams(q)))
+        greedy = np.zeros(len(a), bool)
+        for lo, hi in pairs.tiles(a, q):
+            greedy[lo:hi] = True
+        assert (greedy <= marks).all()  # tiles that others overlap are cut short
+        assert all(any(a[i : i + pairs.TILE] in q for i in range(max(0, p - pairs.TILE + 1), p + 1)) for p in np.flatnonzero(marks))
+
+
+def test_batch_of_sets_equals_single_sets():
+    texts = [["a"] * n + [str(k) for k in range(n * 7 % 11)] for n in (0, 1, 2, 3, 9, 40)]
+    owner, s = neardup.all_shingles(texts)
+    for k, t in enumerate(texts):
+        assert (s[owner == k] == neardup.shingles(t)).all()
+    rows, starts = np.unique(owner, return_index=True)
+    assert (neardup.fingerprints(s, starts) == np.stack([neardup.fingerprint(s[owner == r]) for r in rows])).all()

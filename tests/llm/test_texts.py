@@ -173,3 +173,51 @@ def test_defects_of_empty_tables(spark):
     answers = spark.createDataFrame([], "id long, grp string, task string, answer string")
     questions, cuts = spark.createDataFrame([], "task string, question string"), spark.createDataFrame([], "id long, cut string")
     assert pairs.broken(answers, questions, cuts).where(F.col("defect").isNotNull()).count() == 0
+
+
+# ---- what caps once hid -------------------------------------------------------------------
+
+
+def test_text_damaged_five_times_is_restored():
+    text = "La società è già però così perché"
+    bad = text
+    for _ in range(5):
+        bad = bad.encode("utf-8").decode("latin-1")
+    assert garble.repair(bad)[0] == text
+
+
+def test_restated_question_is_found_within_a_text():
+    other = "The court held that the plaintiff had failed to prove the claim and that the appeal must be dismissed for this reason."
+    middle = QUESTION[30:-30]
+    assert pairs.judge(f"Ecco: {middle} {other}", QUESTION) == "other_language"
+    assert pairs.judge(f"Ecco: {middle} {ANSWER}", QUESTION) is None
+
+
+@pytest.mark.parametrize("answer", [
+    "Chiedo scusa: per questo genere di domande il servizio non è abilitato.", "La mia configurazione non mi consente di aiutare con questo quesito.", "I would rather not comment on pending cases.", "Il m'est impossible de répondre à cette question.",
+    "Das kann ich leider nicht beantworten.", "Debo declinar la solicitud de emitir un dictamen.",
+])
+def test_refusals_by_grammar(answer):
+    assert pairs.is_refusal(answer)
+
+
+def test_short_french_answers_with_few_function_words():
+    known = pairs.model([("fr", forms.words("L'assureur a soutenu que l'administration fiscale n'a pas rapporté la preuve avant que le jugement ne soit définitif.")), ("it", forms.words(ANSWER * 2))])
+    answer = "Malgré la mise en demeure de 2005, l'assureur a soutenu que l'acquéreur du terrain avait notifié l'acte hors délai."
+    assert pairs.judge(answer, QUESTION, known) == "other_language" and pairs.judge(ANSWER, QUESTION, known) is None
+
+
+def test_counts_decide_truncation(spark):
+    # the same ending is whole where texts end with it, and a cut where they go on
+    ends = [f"Il giudice numero {n} ha deciso secondo il prospetto allegato" for n in range(30)]
+    goes_on = [f"Il giudice numero {n} ha deciso secondo il prospetto allegato alla memoria depositata in cancelleria." for n in range(30)]
+    last = "Il giudice numero 77 ha deciso secondo il prospetto allegato"
+    assert set(cut_of(spark, [*ends, last]).values()) == {None}
+    assert cut_of(spark, [*goes_on, last])[30] is not None
+
+
+def test_unfinished_in_expressions(spark):
+    rows = [(1, "m", "t", "**Risposta**"), (2, "m", "t", QUESTION.rstrip("?")), (3, "m", "t", "Mi dispiace, ma non posso rispondere a questa domanda"), (4, "m", "t", ANSWER[:90]), (5, "m", "gone", ANSWER[:60]), (6, "m", "t", None), (7, "m", "t", QUESTION + "\n\nPoiché l'imputato non aveva")]
+    answers = spark.createDataFrame(rows, "id long, grp string, task string, answer string")
+    questions, cuts = spark.createDataFrame([("t", QUESTION)], "task string, question string"), spark.createDataFrame([(i, "word") for i in range(1, 8)], "id long, cut string")
+    assert sorted(r.id for r in pairs.unfinished(cuts, answers, questions).collect()) == [4, 5, 7]
