@@ -73,7 +73,7 @@ def statement(source: str) -> str:
 
 _LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳ"
 #: A text of ASCII alone cannot be a case and needs no SQL.
-SUSPECT = r"[^\x00-\x7FàèéìòùÀÈÉÌÒÙäöüÄÖÜß’“”«»–—]"
+SUSPECT = r"(?=[^\x00-\x7F])[^\x00-\x7FàèéìòùÀÈÉÌÒÙäöüÄÖÜß’“”«»–—]"
 OUT = T.StructType([T.StructField("src_table", T.StringType()), T.StructField("record_key", T.StringType()), T.StructField("form", T.StringType()), T.StructField("changed", T.BooleanType())])
 
 
