@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import sqlite3
 import zipfile
 from collections.abc import Iterator
@@ -73,8 +74,9 @@ def rulings_from_zip(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines): blank lines are skipped, unreadable ones kept apart."""
-    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return raw.where("_bad IS NULL").drop("_bad"), raw.where("_bad IS NOT NULL").select("_bad")
+    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return lines.where("r._bad IS NULL").select("r.*").drop("_bad"), lines.where("r._bad IS NOT NULL").select(F.col("value").alias("_bad"))
 
 
 def corpus(spark: SparkSession, path: str, area: str | None = None) -> DataFrame:
@@ -98,9 +100,9 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
 
 def scores(spark: SparkSession, path: str, since: str | None = None, models: list[str] | None = None, name: str = "scores.json") -> DataFrame:
     """Score files below a folder with family, model and time of their run; charts and reviews are not entered."""
-    root = Path(path).resolve().as_posix()
+    root = re.escape(re.sub("^[a-z0-9]+:/+", "/", path.rstrip("/")) if "://" in path else Path(path).resolve().as_posix())
     raw = spark.read.schema(T.StructType([*SCORE.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("columnNameOfCorruptRecord", "_bad").json(path)
-    relative = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), f"^{root}/", "")
+    relative = F.regexp_replace(F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/"), f"^{root}/", "")
     rows = raw.select("*", relative.alias("path")).where("_bad IS NULL AND task_id IS NOT NULL").drop("_bad").where(~F.col("path").rlike("(^|/)(charts|reviews)/"))
     family, folder, stamp = text.path_parts(F.col("path"))
     rows = rows.withColumns({"family": family, "folder": folder, "run_timestamp": stamp})
@@ -120,17 +122,28 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("task_id", answer.alias("answer"), "model").where(F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0)
 
 
-def delimiter(path: str) -> str:
-    """Delimiter of a sheet by its first 8 KiB; comma where it cannot be told."""
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        try:
-            return csv.Sniffer().sniff(f.read(8192), delimiters=",;\t").delimiter
-        except csv.Error:
-            return ","
+def outputs(spark: SparkSession, path: str, default: str = "unknown") -> tuple[str, DataFrame, DataFrame]:
+    """(model, answers, ids) of a file of outputs: the model its first row names, or the default; answers that are not blank; all ids. An empty file is an error."""
+    rows = spark.read.schema("task_id string, model string, response string").option("multiLine", True).json(path)
+    first = rows.select("model").head()
+    if first is None:
+        raise ValueError(f"no outputs in {path}")
+    named = rows.withColumn("task_id", F.trim("task_id")).where("task_id <> ''")
+    answers_ = named.select("task_id", F.trim("response").alias("answer")).where("answer <> ''")
+    return first["model"] or default, answers_, named.select("task_id")
+
+
+def delimiter(spark: SparkSession, path: str) -> str:
+    """Delimiter of a sheet by its first lines, wherever it lies; comma where it cannot be told."""
+    head = "\n".join(r.value for r in spark.read.text(path).head(20)).lstrip("\ufeff")[:8192]
+    try:
+        return csv.Sniffer().sniff(head, delimiters=",;\t").delimiter
+    except csv.Error:
+        return ","
 
 
 def sheet(spark: SparkSession, path: str, sep: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep or delimiter(path)).csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep or delimiter(spark, path)).csv(path)
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     if lacking := [c for c in required if c not in df.columns]:
         raise ValueError(f"columns missing: {lacking}")

@@ -8,6 +8,7 @@ import os
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,34 +33,50 @@ def scores(df: DataFrame, path: str, with_calls: bool = True) -> None:
     (df if with_calls else df.drop(*CALL_COLUMNS)).write.mode("overwrite").json(path)
 
 
-def report(df: DataFrame, path: str, order: list[str], bom: bool = False) -> None:
-    """One CSV file of an aggregated table in a stated order; small by what it is."""
+#: Rows of a report, at most; more is no aggregated table.
+REPORT_ROWS = 200_000
+
+
+def _bounded(df: DataFrame) -> list:
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report of more than {REPORT_ROWS} rows: write the table instead")
+    return rows
+
+
+def _placed(text: str, path: str, encoding: str = "utf-8") -> None:
+    """A file put in place whole."""
     out = Path(path)
     out.parent.mkdir(parents=True, exist_ok=True)
     part = out.with_suffix(out.suffix + ".part")
-    with part.open("w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        df.orderBy(*order).toPandas().to_csv(f, index=False)
+    part.write_text(text, encoding=encoding, newline="")
     os.replace(part, out)
 
 
+def report(df: DataFrame, path: str, order: list[str], bom: bool = False) -> None:
+    """One CSV file of an aggregated table in a stated order, of at most REPORT_ROWS rows."""
+    frame = pd.DataFrame([tuple(r) for r in _bounded(df.orderBy(*order))], columns=df.columns)
+    _placed(frame.to_csv(index=False), path, "utf-8-sig" if bom else "utf-8")
+
+
 def summary(row: DataFrame, path: str) -> dict:
     """A one-row table as a JSON file, put in place whole."""
     data = json.loads(row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"])
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    part = out.with_suffix(out.suffix + ".part")
-    part.write_text(json.dumps(data, ensure_ascii=False, indent=2), encoding="utf-8")
-    os.replace(part, out)
+    _placed(json.dumps(data, ensure_ascii=False, indent=2), path)
     return data
 
 
 def markdown(df: DataFrame, title: str) -> str:
-    """An aggregated table as Markdown."""
-    rows = df.collect()
+    """An aggregated table as Markdown, of at most REPORT_ROWS rows."""
+    rows = _bounded(df)
     line = lambda cells: "| " + " | ".join("n.d." if c is None else str(c) for c in cells) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]]) + "\n"
 
 
+def markdown_file(df: DataFrame, title: str, path: str) -> None:
+    _placed(markdown(df, title), path)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new put in the place of those of equal key."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -94,3 +94,21 @@ def test_matching_and_samples(spark):
     ids = spark.range(100).withColumnRenamed("id", "k")
     assert matching.sampled(ids, "k", 500, 1).count() == 100
     assert {r.k for r in matching.sampled(ids, "k", 7, 1).collect()} == {r.k for r in matching.sampled(ids.repartition(5), "k", 7, 1).collect()}
+
+
+def test_outputs_and_bounds(spark, tmp_path):
+    path = tmp_path / "outputs.json"
+    path.write_text(json.dumps([{"task_id": " a ", "model": "m1", "response": " sì "}, {"task_id": "b", "response": "  "}, {"task_id": "", "response": "x"}]), encoding="utf-8")
+    model, answers, ids = files.outputs(spark, str(path))
+    assert model == "m1" and [tuple(r) for r in answers.collect()] == [("a", "sì")] and sorted(r[0] for r in ids.collect()) == ["a", "b"]
+    path.write_text("[]", encoding="utf-8")
+    with pytest.raises(ValueError):
+        files.outputs(spark, str(path))
+    sinks.markdown_file(spark.range(2), "t", str(tmp_path / "t.md"))
+    assert (tmp_path / "t.md").read_text(encoding="utf-8").splitlines()[-1] == "| 1 |"
+    before, sinks.REPORT_ROWS = sinks.REPORT_ROWS, 1
+    try:
+        with pytest.raises(ValueError):
+            sinks.report(spark.range(2), str(tmp_path / "t.csv"), ["id"])
+    finally:
+        sinks.REPORT_ROWS = before
