@@ -11,17 +11,6 @@ from giurispark.functions import text
 MIN_FACTS, MIN_PRINCIPLES = 200, 1
 
 
-def pair_files(files: DataFrame) -> DataFrame:
-    """(id, info, metadata) from (path): of several files of a kind the last path counts."""
-    shaped = files.where(F.col("path").endswith(".json") & ~F.col("path").contains("__MACOSX")).select(
-        F.regexp_extract("path", r"(ECLI_IT_[A-Z]+_\d+_[\w-]+)", 1).alias("id"), "path"
-    )
-    return shaped.where("id <> ''").groupBy("id").agg(
-        F.max(F.when(F.contains("path", F.lit("info")), F.col("path"))).alias("info"),
-        F.max(F.when(F.contains("path", F.lit("metadata")), F.col("path"))).alias("metadata"),
-    )
-
-
 def reject_reason(rulings: DataFrame) -> Column:
     """First reason to leave a ruling out; 'ok' for the usable ones. The order of the reasons is that of the counters."""
     return (

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from giurispark.functions.text import area_of_task
-
 
 def rate(n: Column, d: Column) -> Column:
     """Share, 0 where nothing counts."""
@@ -114,10 +112,6 @@ def false_premise_summary(scored: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def with_area(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("macro_area", area_of_task(F.col("task_id")))
-
-
 # ---- citation side of a score -----------------------------------------------------------------
 
 

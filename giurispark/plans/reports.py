@@ -9,6 +9,7 @@ from giurispark.functions import text
 from giurispark.operators import reporting, scoring
 from giurispark.operators.ranking import numbered
 from giurispark.plans.corpus import area_sql
+from giurispark.session import cut
 from giurispark.sources.tables import table
 
 
@@ -92,7 +93,7 @@ def _frame(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    tasks = reporting.first_tasks(_frame(spark, base))
+    tasks = cut(reporting.first_tasks(_frame(spark, base)))  # both frames and their reports read it
     return tasks, reporting.criterion_frame(tasks, _criteria(spark, base).drop("task_id"))
 
 
