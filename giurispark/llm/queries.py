@@ -161,21 +161,24 @@ def _records(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    features = neardup.features(_records(spark, base))
-    pairs_ = neardup.record_pairs(neardup.classes(features), neardup.class_pairs(features))
+    records = _records(spark, base)
+    features = neardup.features(records, sets=False)
+    pairs_ = neardup.record_pairs(neardup.classes(features), neardup.class_pairs(features, texts=records))
     return pairs_.select(F.col("a").alias("prov_id_a"), F.col("b").alias("prov_id_b"))
 
 
 def p5_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Pairs between the representatives of classes of equal texts."""
-    return neardup.class_pairs(neardup.features(_records(spark, base))).select(F.col("a").alias("prov_id_a"), F.col("b").alias("prov_id_b"), F.round("similarity", 6).alias("similarity"), "distance")
+    records = _records(spark, base)
+    found = neardup.class_pairs(neardup.features(records, sets=False), texts=records)
+    return found.select(F.col("a").alias("prov_id_a"), F.col("b").alias("prov_id_b"), F.round("similarity", 6).alias("similarity"), "distance")
 
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
     """Every ruling with the class of equal texts, its group of near copies and its number of links to other classes; one of fewer than three words is a class of its own."""
     records = _records(spark, base)
-    features = neardup.features(records)
-    members, links = neardup.classes(features), cut(neardup.class_pairs(features))
+    features = neardup.features(records, sets=False)
+    members, links = neardup.classes(features), neardup.class_pairs(features, texts=records)
     groups = neardup.components(members.where("id = rep").select("id"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     short = records.select(F.col("id").cast("long").alias("id")).join(features.select("id"), "id", "left_anti")

@@ -45,9 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the reliable checkpoint folder and go on from those files."""
-    ensure_checkpoint_dir(df.sparkSession)
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Materialise df once in the reliable checkpoint folder and go on from those files; release: the step's shuffle files go at once, not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if release:
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, "true")
+        try:
+            df = df.select("*")  # a frame takes the setting when it is made
+        finally:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     return df.checkpoint(eager=True)  # its files go with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set
 
 

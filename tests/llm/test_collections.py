@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -115,6 +116,28 @@ def test_near_duplicates_of_nothing(spark):
     assert table.count() == 0 and neardup.class_pairs(table).count() == 0
 
 
+def test_near_duplicates_leave_little_on_disk(spark):
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    used = lambda: sum(p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*"))
+    n, before = 2000, used()
+    df = spark.createDataFrame([(i, text(60)) for i in range(n)], "id long, text string")
+    neardup.class_pairs(neardup.features(df)).count()
+    assert used() - before < 400 * n  # a key of every segment, eight bytes each, is more
+
+
+def test_sets_made_again_give_the_same_pairs(spark):
+    base = [text(80).split() for _ in range(40)]
+    rows = [(10 * i + k, " ".join(b[k:])) for i, b in enumerate(base) for k in (0, 0, 3, 20, 50)] + [(1000, None), (-5, " ".join(base[0]))]
+    rows = list(dict(rows).items())
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = sorted(tuple(r) for r in neardup.class_pairs(neardup.features(df)).collect())
+    table = neardup.features(df, sets=False)
+    assert "set" not in table.columns
+    assert sorted(tuple(r) for r in neardup.class_pairs(table, block=2, texts=df).collect()) == want
+    s = sets(rows)
+    assert len(want) > 40 and all(abs(j - len(s[a] & s[b]) / len(s[a] | s[b])) < 1e-9 for a, b, j, _ in want)
+
+
 def test_fingerprint_distance_follows_similarity():
     a = neardup.shingles(text(400).split())
     b = np.unique(np.concatenate([a[: int(len(a) * 0.75)], neardup.shingles(text(100).split())]))
